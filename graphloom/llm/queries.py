@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_frames
+from . import decontaminate, mixing, quality, token_frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_token_frames": token_frames.op7_token_frames}
+    return {
+        "op7_token_frames": token_frames.op7_token_frames,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_quality_rules": quality.op9_quality_rules,
+        "op10_mix_sources": mixing.op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE}
