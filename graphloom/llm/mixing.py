@@ -7,8 +7,9 @@ which targets are min(most * size, level * weight), found from running sums over
 A source's documents each are due c = target / size copies: floor(c) for certain, and one more with the fractional
 probability.  These probabilities are rounded in dependence: two documents exchange expected words at random, in proportion that
 keeps both expectations, until one probability is 0 or 1; the other goes on to the next pair.  The words expected of a source
-never change, so in the end it is off by less than one document.  Documents are paired in chunks of about `chunk`, by hash;
-what a chunk leaves over, one document, goes up a reduction tree whose levels follow from the largest source's count.
+never change, so in the end it is off by at most half of the one document that is left, which goes to the nearer end.  Documents
+are paired in chunks of about `chunk`, by hash, from long to short, so that what a chunk leaves over, one document, tends to be
+short; it goes up a reduction tree whose levels follow from the largest source's count.
 
 Everything is DataFrame functions.  The unit that is rounded is an (id, source, size) with its number of rows, so repeated rows are
 pre-aggregated and all take the same.  A hot source is many chunks.  All randomness is a hash of seed and unit: reruns agree.
@@ -87,14 +88,15 @@ def rounded(units: DataFrame, goal: DataFrame, *, chunk: int = CHUNK, seed: int
     done, level, left = [], 0, max(most or 0, 1)
     while True:
         left = math.ceil(left / chunk)
-        grouped = live.groupBy("source", "chunks", F.pmod(F.xxhash64(F.lit(level), "h"), "chunks").alias("c")).agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "size", "m", "p"))).alias("u"))
+        grouped = live.groupBy("source", "chunks", F.pmod(F.xxhash64(F.lit(level), "h"), "chunks").alias("c")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size") * F.col("m")).alias("o"), "h", "doc_id", "size", "m", "p"))).alias("u"))
+        grouped = grouped.withColumn("u", F.transform("u", lambda x: F.struct(*[x[k].alias(k) for k in ("h", "doc_id", "size", "m", "p")])))
         out = written(grouped.select("source", "chunks", round_chunk(level, seed).alias("r")).select("source", "chunks", "r.carry", "r.out"), "mixing")
         done.append(out.select("source", F.explode("out").alias("x")).select("source", "x.*"))
         rest = out.select("source", "chunks", "carry.*")
         if left <= 1:
             break
         live, level = rest.withColumn("chunks", F.ceil(F.col("chunks") / chunk)), level + 1
-    last = rest.withColumn("p", (chance(F.lit(seed), F.lit(-1), "h") < F.col("p")).cast("double")).drop("chunks")
+    last = rest.withColumn("p", (F.col("p") >= 0.5).cast("double")).drop("chunks")  # one document a source goes to the nearer end
     bits = last
     for d in done:
         bits = bits.unionByName(d)

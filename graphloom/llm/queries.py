@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, token_frames
+from . import decontaminate, mixing, quality, token_frames, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_token_frames": token_frames.op7_token_frames,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_rules": quality.op9_quality_rules,
