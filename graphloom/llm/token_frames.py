@@ -35,6 +35,7 @@ from .common import shared_dir
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "path string, n_docs long, n_tokens long, n_frames long, first_id long, has_id boolean, first_hash long"
+MARKS = ".,!?;:#$%&*|"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -45,7 +46,7 @@ class ChunkEncoder:
     line break between two, so a text's ids are those of its chunks.  Texts where white space stands together, or that hold
     an added token's string, are encoded whole.  The memory is emptied at `limit` chunks."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,6 +57,7 @@ class ChunkEncoder:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.inner: dict[str, bytes] = {}  # chunks after a space
         self.outer: dict[str, bytes] = {}  # chunks at a text's or line's start
+        self.marks = {"\n": self._ids(["\n"])[0]}
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", r"^\s", r"\s$", r"[^\S \n]", *added]))
 
@@ -65,18 +67,20 @@ class ChunkEncoder:
     def _learn(self, memory: dict[str, bytes], lead: str, new: set[str]) -> None:
         new.discard("")
         bare = {c for c in new if "\n" not in c}
-        #: a word and one closing mark are two pieces for the splitter
-        heads = {c[:-1] for c in bare if c[-1] in ".,"} - memory.keys()
-        first = [c for c in (heads | bare) if c.isalpha() or c in bare and not (c[-1] in ".," and c[:-1].isalpha())]
+        # letters and the marks that close them are two pieces for the splitter
+        parts = {c: (c[:k], c[k:]) for c in bare if 0 < (k := len(c.rstrip(MARKS))) < len(c) and c[:k].isalpha()}
+        first = list((bare - parts.keys()) | ({h for h, _ in parts.values()} - memory.keys()))
         memory.update(zip(first, self._ids([lead + c for c in first]), strict=True))
-        for c in bare - memory.keys():
-            memory[c] = memory[c[:-1]] + self.marks[c[-1]]
+        tails = list({t for _, t in parts.values()} - self.marks.keys())
+        self.marks.update(zip(tails, self._ids(tails), strict=True))
+        for c, (head, tail) in parts.items():
+            memory[c] = memory[head] + self.marks[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) + len(self.outer) > self.limit:
             self.inner.clear()
             self.outer.clear()
-        self.marks = dict(zip(".,\n", self._ids(list(".,\n")), strict=True))
+            self.marks = {"\n": self.marks["\n"]}
         out: list[bytes | None] = [None] * len(texts)
         rest, split = [], []
         for k, text in enumerate(texts):
@@ -197,7 +201,7 @@ class ShardReader:
 
 
 def write_shards(
-    docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", out_dir: str | None = None, frame_bytes: int = 1 << 18, level: int = 3, remembered: int = 700_000
+    docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", out_dir: str | None = None, frame_bytes: int = 1 << 18, level: int = 3, remembered: int = 1_400_000
 ) -> DataFrame:
     """Encodes and writes all documents; the manifest, one row a shard, as a written table.  One shuffle: by ranges of the id."""
     spark = docs.sparkSession
