@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, token_frames, url_filter
+from . import decontaminate, mixing, pseudonyms, quality, token_frames, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_pseudonyms": pseudonyms.op5_pseudonyms,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_token_frames": token_frames.op7_token_frames,
         "op8_decontaminate": decontaminate.op8_decontaminate,

@@ -38,11 +38,13 @@ LABELLED = [
         "https://m.cookbooknotes.net/en/recipes/7", "https://docs.openlibrary.net/en/guide/3", "https://school.eastwood.net/es/901?page=2", "http://www.gardenjournal.net/en/550/", "https://forum.cyclists.net/de/612#top",
         "https://www.mathnotes.net/en/120", "https://history.lakeside.net/fr/77", "https://blog.the-other.net/en/340", "http://www.mountaintrail.net/es/15", "https://research.example.net/en/204",
         "https://www.thenational.net/en/99", "https://m.anders.net/de/310", "https://tionhall.net/en/5", "https://blog.thereon.net/es/64", "https://www.andthe.net/fr/812", "http://thanin.net/en/36", "https://www.readings.com/en/71", "https://blog.inthere.com/es/402", "https://www.heron.com/en/18",
+        "https://www.tharen.example.com/en/4", "https://ththor.example.com/es/12", "http://blog.theran.example.com/en/620.html", "https://m.ththis.example.com/de/3", "https://ththat.example.com/en/88", "http://thand.example.com/en/7", "https://thhers.example.com/es/5",
     )),
     *((u, 1) for u in (
         "https://www.cheap-pills-online.net/en/1", "http://cheap-pills.shop.net/fr/22", "https://buy-cheap-pills.com/en/3?ref=x", "https://spam-farm.link.net/en/45", "http://www.spam-farm.com/es/8", "https://spam-links.farm.net/de/17",
         "https://free-casino-bonus.net/en/50", "http://online-casino-win.com/de/61", "https://casino-spins.net/es/9", "https://hot-xxx-videos.net/en/12", "http://xxx-adult-cams.com/fr/4", "https://adult-dating-free.net/en/6",
         "https://replica-watches-cheap.net/en/71", "http://win-free-prize.com/en/2", "https://payday-loans-fast.net/es/33", "https://viagra-discount-pills.com/en/10", "http://click-bait-farm.net/en/19", "https://seo-spam-links.com/en/28", "https://free-prize-winner.net/de/5", "https://malware-download-free.net/en/14", "https://cheap-pills.example.net/en/7", "https://spam-farm.example.net/es/6",
+        "https://ads-server.example.net/en/3", "http://track-ads.net/es/40", "https://pixel-track-ads.com/en/9", "https://free-bets-now.net/en/31",
     )),
 ]
 
