@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pseudonyms, quality, token_frames, toxicity, url_filter
+from . import decontaminate, jaccard, mixing, pseudonyms, quality, token_frames, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_pseudonyms": pseudonyms.op5_pseudonyms,
         "op6_url_filter": url_filter.op6_url_filter,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE}
+    return {"op2_jaccard_join": jaccard.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

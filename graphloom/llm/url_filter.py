@@ -45,6 +45,7 @@ LABELLED = [
         "https://free-casino-bonus.net/en/50", "http://online-casino-win.com/de/61", "https://casino-spins.net/es/9", "https://hot-xxx-videos.net/en/12", "http://xxx-adult-cams.com/fr/4", "https://adult-dating-free.net/en/6",
         "https://replica-watches-cheap.net/en/71", "http://win-free-prize.com/en/2", "https://payday-loans-fast.net/es/33", "https://viagra-discount-pills.com/en/10", "http://click-bait-farm.net/en/19", "https://seo-spam-links.com/en/28", "https://free-prize-winner.net/de/5", "https://malware-download-free.net/en/14", "https://cheap-pills.example.net/en/7", "https://spam-farm.example.net/es/6",
         "https://ads-server.example.net/en/3", "http://track-ads.net/es/40", "https://pixel-track-ads.com/en/9", "https://free-bets-now.net/en/31",
+        "https://win-casino-now.example.com/en/5", "https://bets-free.example.com/de/3", "http://pill-shop.example.com/es/44", "https://ads-tracker.example.com/en/6", "https://casino.example.com/fr/9", "https://spam-links.example.com/en/2", "http://online-bets.example.com/es/71",
     )),
 ]
 
