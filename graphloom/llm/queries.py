@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, mixing, pseudonyms, quality, token_frames, toxicity, url_filter
+from . import decontaminate, html_text, jaccard, mixing, pseudonyms, quality, repeats, token_frames, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_repeats": repeats.op1_suffix_repeats,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_html_text": html_text.op3_html_text,
         "op4_toxicity": toxicity.op4_toxicity,
