@@ -14,8 +14,8 @@ Classes.  Frequencies come from one counting sketch over all documents: `width`
 correct; they only decide how selective the signatures are.
 
 Candidates.  Signatures are shuffled and sorted; a run of one signature is read as a stream, never held.  Runs of up to `small` classes give all pairs whose sizes
-fit.  Longer runs give star pairs with a leader (for one in `thin` of the signatures) and join their members into a family.  After the first components are known,
-only members outside a family's largest component meet all others, tile against tile of at most `tile` sets.  Nothing is capped or dropped.
+fit.  Longer runs give star pairs with their first four members (for one in `thin` of the signatures), and their members go to the family that is named after the first.  After the
+first components are known, only members outside a family's largest component meet all others, tile against tile of at most `tile` sets.  Nothing is capped or dropped.
 
 Verification computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
 and small-star steps over written tables.
@@ -177,8 +177,8 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(sigs)), signed(np.concatenate(owners)), signed(np.concatenate(sizes))], names=["sig", "d", "n"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by signature and a hash: what one run holds is at most `small` members."""
-        now, held, lead, last, out, made = None, [], None, None, [], set()
+        """Over rows sorted by signature and class: what one run holds is at most `small` members."""
+        now, held, leads, last, out, made = None, [], [], None, [], set()
 
         def pair(x: tuple[int, int], y: tuple[int, int]) -> None:
             lo, hi = sorted((x[1], y[1]))
@@ -201,11 +201,12 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
             return got
 
         def member(sig: int, x: tuple[int, int]) -> None:
-            if (f := (lead[0], x[0], True)) not in made:
+            if (f := (leads[0][0], x[0], True)) not in made:
                 made.add(f)
                 out.append(f)
             if sig % thin == 0:
-                pair(lead, x)
+                for y in leads:
+                    pair(y, x)
 
         for b in batches:
             sig, d, n = (c.to_numpy() for c in b.columns)
@@ -219,13 +220,14 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
             for s, x in zip(sig[live].tolist(), zip(d[live].tolist(), n[live].tolist(), strict=True), strict=True):
                 if s != now:
                     close()
-                    now, held, lead, last = s, [x], x, x
+                    now, held, leads, last = s, [x], [], x
                 elif x != last:
                     last = x
                     if held:
                         held.append(x)
                         if len(held) > small:
-                            for y in held[1:]:
+                            leads = held[:4]
+                            for y in held:
                                 member(s, y)
                             held = []
                     else:
@@ -236,7 +238,7 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
         yield batch()
 
     rows = docs.select("text").mapInArrow(sign, "sig long, d long, n int")
-    rows = rows.repartition("sig").sortWithinPartitions("sig", F.xxhash64("sig", "d"), "d")
+    rows = rows.repartition("sig").sortWithinPartitions("sig", "d")
     return rows.mapInArrow(runs, "a long, b long, family boolean").distinct()
 
 
@@ -341,7 +343,7 @@ def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int =
     links = written(verified(pairs, tokens), "links")
     comp = components(links)
     if not members.isEmpty():
-        fam = components(members).select(F.col("node").alias("d"), F.col("comp").alias("family"))
+        fam = members.select(F.col("a").alias("family"), F.col("b").alias("d"))
         placed = fam.join(comp.select(F.col("node").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
         main = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
         placed = written(placed.join(main, "family").select("family", "d", "comp", (F.col("comp") != F.col("main")).alias("out")), "families")
