@@ -17,7 +17,7 @@ Candidates.  Signatures are shuffled and sorted; a run of one signature is read
 fit.  Longer runs give star pairs with their first four members (for one in `thin` of the signatures), and their members go to the family that is named after the first.  After the
 first components are known, only members outside a family's largest component meet all others, tile against tile of at most `tile` sets.  Nothing is capped or dropped.
 
-Verification computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
+Verification.  Each class has a fingerprint of BITMAP bits, which bounds what two sets can share from above; pairs that it rules out go first.  For the others, it computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
 and small-star steps over written tables.
 
 Null, empty or wordless documents have no shingles and are alone; with fewer words than five the whole sequence is the one shingle.  Repeated rows
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORDS, TIMES, OF = 5, 100, 80  # links: TIMES * intersection >= OF * union
-WIDTH, SMALL, THIN, TILE, FREQUENT = 1 << 20, 16, 8, 256, 64
+WIDTH, SMALL, THIN, TILE, FREQUENT, BITMAP, MAX_BROADCAST = 1 << 20, 16, 8, 256, 64, 1024, 1_000_000
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -109,6 +109,12 @@ def signatures(t: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def fingerprint(tokens: np.ndarray) -> np.ndarray:
+    """BITMAP bits: each token flips one.  Two sets differ in at least as many tokens as their fingerprints in bits."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
     col = batch.column(batch.schema.get_field_index(column))
     for lo in range(0, len(col), 1000):
@@ -120,22 +126,23 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, digest of each row; and, with a null digest, the partition's sketch in pieces (n: the piece)."""
+    """doc_id, n, digest and fingerprint of each row; and, with a null digest, the partition's sketch in pieces (n: the piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(width, np.uint32)
+        counts, names = np.zeros(width, np.uint32), ["doc_id", "n", "digest", "bits", "sketch"]
         for b in batches:
-            sizes, digests = [], []
+            sizes, digests, prints = [], [], []
             for text in texts_of(b):
                 t = shingle_set(text)
+                prints.append(fingerprint(t))
                 np.add.at(counts, (t >> np.uint64(44)).astype(np.int64) % width, 1)
                 sizes.append(len(t))
                 digests.append(digest(t))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary())], names=names)
         pieces = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(np.split(counts, 64)) if c.any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pieces), pa.int64()), pa.array([k for k, _ in pieces], pa.int64()), pa.nulls(len(pieces), pa.int64()), pa.array([c for _, c in pieces], pa.binary())], names=["doc_id", "n", "digest", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pieces), pa.int64()), pa.array([k for k, _ in pieces], pa.int64()), pa.nulls(len(pieces), pa.int64()), pa.nulls(len(pieces), pa.list_(pa.int64())), pa.array([c for _, c in pieces], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest long, bits array<long>, sketch binary")
 
 
 def frequent_buckets(sketches: DataFrame, width: int, least: int) -> np.ndarray:
@@ -264,7 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, tokens for the wanted (d, doc_id) representatives: their texts are shuffled, no others' sets are made."""
+    """d, tokens for the wanted (d, doc_id) representatives: no others' sets are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,11 +280,21 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = own[lo : lo + 500]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("d")).slice(lo, 500), pa.array([t.tobytes() for t in part], pa.binary()), pa.array([digest(t) for t in part], pa.int64())], names=["d", "tokens", "own"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("d", "text")
+    few = F.broadcast if wanted.count() <= MAX_BROADCAST else (lambda df: df)  # two numbers a row
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep"))).select("d", "text")
     rows = rows.mapInArrow(run, "d long, tokens binary, own long").where("d = own")  # an id may have other texts
     return rows.select("d", "tokens").dropDuplicates(["d"])
 
 
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose fingerprints leave room for a link: the sets share at most half of what their sizes add up to less the differing bits."""
+    a = classes.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    b = classes.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    both = F.col("na") + F.col("nb")
+    return pairs.join(a, "a").join(b, "b").where((TIMES + OF) * (both - differ) >= 2 * OF * both).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,13 +350,14 @@ def tile_links(left: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
 def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int = THIN, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: links of the row's class with other classes that were verified on the way."""
     first = written(profile(docs, width), "sets")
-    sets = first.where("digest is not null")
+    sets = first.where("digest is not null").select("doc_id", "n", "digest", "bits")
     flags = frequent_buckets(first.where("digest is null"), width, frequent)
-    classes = sets.where("n > 0").groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("n > 0").groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = written(classes, "classes")
     found = written(candidates(docs, flags, small, thin), "candidates")
-    pairs, members = found.where("not family").select("a", "b"), found.where("family").select("a", "b")
-    nodes = found.select(F.col("a").alias("d")).union(found.select("b")).distinct()
-    tokens = written(token_sets(docs, nodes.join(classes, "d")), "tokens")
+    pairs, members = written(possible(found.where("not family").select("a", "b"), classes), "pairs"), found.where("family").select("a", "b")
+    nodes = pairs.union(members).select(F.explode(F.array("a", "b")).alias("d")).distinct()
+    tokens = written(token_sets(docs, nodes.join(classes.select("d", "rep"), "d")), "tokens")
     links = written(verified(pairs, tokens), "links")
     comp = components(links)
     if not members.isEmpty():
@@ -352,7 +370,7 @@ def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int =
     comp = classes.join(comp, F.col("d") == F.col("node"), "left").select("d", "rep", F.coalesce("comp", "d").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = comp.join(least, "comp").select("d", "component_id")
-    rows = sets.join(named, sets["digest"] == named["d"], "left")
+    rows = sets.drop("bits").join(named, sets["digest"] == named["d"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
