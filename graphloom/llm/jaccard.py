@@ -15,7 +15,7 @@ correct; they only decide how selective the signatures are.
 
 Candidates.  Signatures are shuffled and sorted; a run of one signature is read as a stream, never held.  Runs of up to `small` classes give all pairs whose sizes
 fit.  Longer runs give star pairs with their first four members (for one in `thin` of the signatures), and their members go to the family that is named after the first.  After the
-first components are known, only members outside a family's largest component meet all others, tile against tile of at most `tile` sets.  Nothing is capped or dropped.
+first components are known, only members outside a family's largest component are compared with members of its other components.  Nothing is capped or dropped.
 
 Verification.  Each class has a fingerprint of BITMAP bits, which bounds what two sets can share from above; pairs that it rules out go first.  For the others, it computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
 and small-star steps over written tables.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORDS, TIMES, OF = 5, 100, 80  # links: TIMES * intersection >= OF * union
-WIDTH, SMALL, THIN, TILE, FREQUENT, BITMAP, MAX_BROADCAST = 1 << 20, 16, 8, 256, 64, 1024, 1_000_000
+WIDTH, SMALL, THIN, FREQUENT, BITMAP, MAX_BROADCAST = 1 << 20, 16, 8, 64, 1024, 1_000_000
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -311,43 +311,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def tile_links(left: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
-    """Links of family members outside the largest component with members of other components, tile by tile.
-
-    left: family, d, comp, out (outside).  A tile of outsiders meets every tile of its family; each set is copied once a tile of the other side."""
-
-    def meet(key: tuple, tab: pa.Table) -> pa.Table:
-        side, d, comp = tab.column("outer").to_numpy(), tab.column("d").to_numpy(), tab.column("comp").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in tab.column("tokens").to_pylist()]
-        size = np.array([len(x) for x in own])
-        names, col = np.unique(np.concatenate(own), return_inverse=True)
-        row = np.repeat(np.arange(len(own)), size)
-        outs, ins = np.flatnonzero(side), np.flatnonzero(~side)
-        place = np.zeros(len(own), np.int64)
-        place[outs], place[ins] = np.arange(len(outs)), np.arange(len(ins))
-        both = np.zeros((len(outs), len(ins)), np.float32)
-        on = side[row]
-        for lo in range(0, len(names), 8192):  # dense blocks of tokens bound the memory
-            part = (col >= lo) & (col < lo + 8192)
-            x, y = np.zeros((len(outs), 8192), np.float32), np.zeros((len(ins), 8192), np.float32)
-            x[place[row[part & on]], col[part & on] - lo] = 1
-            y[place[row[part & ~on]], col[part & ~on] - lo] = 1
-            both += x @ y.T
-        union = size[outs][:, None] + size[ins][None, :] - both
-        i, j = np.nonzero((TIMES * both >= OF * union) & (comp[outs][:, None] != comp[ins][None, :]))
-        a, b = d[outs][i], d[ins][j]
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
-
-    counts = left.groupBy("family").agg(F.sum(F.col("out").cast("int")).alias("outs"), F.count("*").alias("all")).where("outs > 0")
-    rows = left.join(counts, "family").select("*", F.ceil(F.col("outs") / tile).cast("int").alias("rows_"), F.ceil(F.col("all") / tile).cast("int").alias("cols_"))
-    spread = F.pmod(F.xxhash64("d"), F.lit(1 << 30))
-    outer = rows.where("out").select("family", "d", "comp", F.lit(True).alias("outer"), F.pmod(spread, "rows_").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols_") - 1)).alias("j"))
-    inner = rows.select("family", "d", "comp", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("rows_") - 1)).alias("i"), F.pmod(spread, "cols_").cast("int").alias("j"))
-    every = outer.unionByName(inner).join(sets, "d")
-    return every.groupBy("family", "i", "j").applyInArrow(meet, "a long, b long").distinct()
-
-
-def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int = THIN, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
+def across(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of a family's members outside its largest component with members of other components, as far as fingerprints leave room for a link.
+
+    Ids, sizes and fingerprints are shuffled by family; a pair that is ruled out is never a row, and Spark splits a family that stands out."""
+    own = placed.join(classes.select("d", "n", "bits"), "d")
+    x = own.where("out").select("family", F.col("d").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    y = own.select("family", F.col("d").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    differ = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    both = F.col("nx") + F.col("ny")
+    near = (TIMES * F.least("nx", "ny") >= OF * F.greatest("nx", "ny")) & ((TIMES + OF) * (both - differ) >= 2 * OF * both)
+    met = x.alias("l").join(y.alias("r"), (F.col("l.family") == F.col("r.family")) & (F.col("cx") != F.col("cy")) & near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int = THIN, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: links of the row's class with other classes that were verified on the way."""
     first = written(profile(docs, width), "sets")
     sets = first.where("digest is not null").select("doc_id", "n", "digest", "bits")
@@ -356,17 +334,20 @@ def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int =
     classes = written(classes, "classes")
     found = written(candidates(docs, flags, small, thin), "candidates")
     pairs, members = written(possible(found.where("not family").select("a", "b"), classes), "pairs"), found.where("family").select("a", "b")
-    nodes = pairs.union(members).select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    tokens = written(token_sets(docs, nodes.join(classes.select("d", "rep"), "d")), "tokens")
-    links = written(verified(pairs, tokens), "links")
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+        tokens = written(token_sets(docs, nodes.join(classes.select("d", "rep"), "d")), "tokens")
+        return written(verified(pairs, tokens), "links")
+
+    links = proven(pairs)
     comp = components(links)
     if not members.isEmpty():
         fam = members.select(F.col("a").alias("family"), F.col("b").alias("d"))
         placed = fam.join(comp.select(F.col("node").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
         main = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
         placed = written(placed.join(main, "family").select("family", "d", "comp", (F.col("comp") != F.col("main")).alias("out")), "families")
-        links = written(links.unionByName(tile_links(placed, tokens, tile)), "links")
-        comp = components(links)
+        comp = components(links.unionByName(proven(written(across(placed, classes), "pairs"))))
     comp = classes.join(comp, F.col("d") == F.col("node"), "left").select("d", "rep", F.coalesce("comp", "d").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = comp.join(least, "comp").select("d", "component_id")
