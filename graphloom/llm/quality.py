@@ -72,7 +72,7 @@ def assess(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_tr
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
-        (F.aggregate("b", F.lit(0.0), lambda a, k: a + F.get(model, k)) / F.size("b")).alias("score"),
+        F.try_divide(F.aggregate("b", F.lit(0.0), lambda a, k: a + F.get(model, k)), F.size("b")).alias("score"),
     )
     same = lambda i, j: F.coalesce(F.get("s", i)["x"] == F.get("s", j)["x"], F.lit(False))
     twice = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: same(i, i - 1) | same(i, i + 1))
@@ -81,7 +81,9 @@ def assess(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_tr
     covered = F.aggregate("at", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")), lambda a: a["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    # rand() is never negative: it only keeps the optimizer from copying all of the above into a filter on the verdict, again and again
+    whole = F.rand(0) >= 0
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)) & whole)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
