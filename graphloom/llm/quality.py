@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, packed, table, words
+from .common import NOT_SPACE, packed, table, words, written
 
 BUCKETS, MAX_TRUSTED, THRESHOLD, SMOOTHING = 1 << 14, 20_000, -0.09, 1.0
 
@@ -81,14 +81,14 @@ def assess(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_tr
     covered = F.aggregate("at", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")), lambda a: a["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    # rand() is never negative: it only keeps the optimizer from copying all of the above into a filter on the verdict, again and again
-    whole = F.rand(0) >= 0
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)) & whole)
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return assess(docs, labels, **options).where("kept").select("__row.*")
+    """The documents that pass, with their own columns.
+
+    The verdicts are written first: a filter right above them makes the optimizer copy the whole scoring into it, again and again."""
+    return written(assess(docs, labels, **options).select("__row", "n_words", "n_repeat_words", "base_failed", "score", "kept"), "verdicts").where("kept").select("__row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
