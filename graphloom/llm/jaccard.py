@@ -17,7 +17,7 @@ Candidates.  Signatures are shuffled and sorted; a run of one signature is read
 fit.  Longer runs give star pairs with their first four members (for one in `thin` of the signatures), and their members go to the family that is named after the first.  After the
 first components are known, only members outside a family's largest component are compared with members of its other components.  Nothing is capped or dropped.
 
-Verification.  Each class has a fingerprint of BITMAP bits, which bounds what two sets can share from above; pairs that it rules out go first.  For the others, it computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
+Verification.  Each class has a fingerprint of two to four bits a shingle, which bounds what two sets can share from above; pairs that it rules out go first.  For the others, it computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
 and small-star steps over written tables.
 
 Null, empty or wordless documents have no shingles and are alone; with fewer words than five the whole sequence is the one shingle.  Repeated rows
@@ -34,13 +34,13 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 WORDS, TIMES, OF = 5, 100, 80  # links: TIMES * intersection >= OF * union
-WIDTH, SMALL, THIN, FREQUENT, BITMAP, MAX_BROADCAST = 1 << 20, 16, 8, 64, 1024, 1_000_000
+WIDTH, SMALL, THIN, FREQUENT, BITMAP, MAX_BROADCAST = 1 << 20, 16, 8, 64, 256, 1_000_000
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,8 +110,9 @@ def signatures(t: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(tokens: np.ndarray) -> np.ndarray:
-    """BITMAP bits: each token flips one.  Two sets differ in at least as many tokens as their fingerprints in bits."""
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+    """Bits, two to four times as many as tokens and a power of two: each token flips one.  Sets differ in at least as many tokens as their fingerprints in bits."""
+    wide = max(BITMAP, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else BITMAP
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % wide, minlength=wide) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
@@ -286,13 +287,23 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("d", "tokens").dropDuplicates(["d"])
 
 
+def differing(x: str, y: str) -> Column:
+    """Bits in which two fingerprints differ, the longer one folded to the other's length; sizes that fit are at most one doubling apart."""
+    fold = lambda a, b: F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), F.size(b)), F.slice(a, F.size(b) + 1, F.size(b)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
+    return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def room(nx: str, ny: str, bx: str, by: str) -> Column:
+    """Whether sizes and fingerprints leave room for a link: sets share at most half of what their sizes add up to less the differing bits."""
+    both = F.col(nx) + F.col(ny)
+    return (TIMES * F.least(nx, ny) >= OF * F.greatest(nx, ny)) & ((TIMES + OF) * (both - differing(bx, by)) >= 2 * OF * both)
+
+
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose fingerprints leave room for a link: the sets share at most half of what their sizes add up to less the differing bits."""
+    """Pairs that have room for a link."""
     a = classes.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     b = classes.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    both = F.col("na") + F.col("nb")
-    return pairs.join(a, "a").join(b, "b").where((TIMES + OF) * (both - differ) >= 2 * OF * both).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(room("na", "nb", "xa", "xb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -318,10 +329,7 @@ def across(placed: DataFrame, classes: DataFrame) -> DataFrame:
     own = placed.join(classes.select("d", "n", "bits"), "d")
     x = own.where("out").select("family", F.col("d").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     y = own.select("family", F.col("d").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    differ = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-    both = F.col("nx") + F.col("ny")
-    near = (TIMES * F.least("nx", "ny") >= OF * F.greatest("nx", "ny")) & ((TIMES + OF) * (both - differ) >= 2 * OF * both)
-    met = x.alias("l").join(y.alias("r"), (F.col("l.family") == F.col("r.family")) & (F.col("cx") != F.col("cy")) & near)
+    met = x.alias("l").join(y.alias("r"), (F.col("l.family") == F.col("r.family")) & (F.col("cx") != F.col("cy")) & room("nx", "ny", "bx", "by"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
