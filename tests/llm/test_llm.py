@@ -269,7 +269,7 @@ def test_token_frames_round_trip(spark, docs, empty, tmp_path):
 
 
 def test_toxicity_held_out(spark, docs, empty):
-    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     models = toxicity.train(d, lab.where(~test), dim=1 << 16)
     got = toxicity.score(d.withColumn("p_toxic", F.lit("mine")), models, dim=1 << 16).select(F.col("__row.doc_id").alias("doc_id"), F.col("__row.lang").alias("lang"), (F.col("p_toxic") >= 0.5).alias("hit")).join(lab.where(test), "doc_id")
