@@ -63,6 +63,12 @@ class Words(dict):
 _words = Words()
 
 
+def rest() -> None:
+    """At a task's end: an idle worker holds no words and no unused Arrow memory."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes.  bytes.lower() and bytes.split() know A-Z and the six white-space bytes only."""
     w = (text or "").encode().lower().split()
@@ -140,6 +146,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(t))
                 digests.append(digest(t))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary())], names=names)
+        rest()
         pieces = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(np.split(counts, 64)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(pieces), pa.int64()), pa.array([k for k, _ in pieces], pa.int64()), pa.nulls(len(pieces), pa.int64()), pa.nulls(len(pieces), pa.list_(pa.int64())), pa.array([c for _, c in pieces], pa.binary())], names=names)
 
@@ -183,6 +190,7 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
                     sigs, owners, sizes = [], [], []
             if sigs:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(sigs)), signed(np.concatenate(owners)), signed(np.concatenate(sizes))], names=["sig", "d", "n"])
+        rest()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Over rows sorted by signature and class: what one run holds is at most `small` members."""
@@ -280,6 +288,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, len(own), 500):
                 part = own[lo : lo + 500]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("d")).slice(lo, 500), pa.array([t.tobytes() for t in part], pa.binary()), pa.array([digest(t) for t in part], pa.int64())], names=["d", "tokens", "own"])
+        rest()
 
     few = F.broadcast if wanted.count() <= MAX_BROADCAST else (lambda df: df)  # two numbers a row
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(wanted), F.col("doc_id").eqNullSafe(F.col("rep"))).select("d", "text")

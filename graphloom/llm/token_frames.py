@@ -76,11 +76,14 @@ class ChunkEncoder:
         for c, (head, tail) in parts.items():
             memory[c] = memory[head] + self.marks[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.outer) > self.limit:
+    def trim(self, limit: int) -> None:
+        if len(self.inner) + len(self.outer) > limit:
             self.inner.clear()
             self.outer.clear()
             self.marks = {"\n": self.marks["\n"]}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.trim(self.limit)
         out: list[bytes | None] = [None] * len(texts)
         rest, split = [], []
         for k, text in enumerate(texts):
@@ -108,7 +111,9 @@ _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 def encoder(path: str, limit: int) -> ChunkEncoder:
     """One a worker process, so that what it remembers serves all its tasks."""
-    return _encoders.setdefault((path, limit), ChunkEncoder(path, limit))
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = ChunkEncoder(path, limit)
+    return _encoders[path, limit]
 
 
 class ShardWriter:
@@ -201,9 +206,11 @@ class ShardReader:
 
 
 def write_shards(
-    docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", out_dir: str | None = None, frame_bytes: int = 1 << 18, level: int = 3, remembered: int = 1_400_000
+    docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", out_dir: str | None = None, frame_bytes: int = 1 << 18, level: int = 3, remembered: int = 1_400_000, resting: int | None = None
 ) -> DataFrame:
-    """Encodes and writes all documents; the manifest, one row a shard, as a written table.  One shuffle: by ranges of the id."""
+    """Encodes and writes all documents; the manifest, one row a shard, as a written table.  One shuffle: by ranges of the id.
+
+    A worker remembers `remembered` chunks at most, and more than `resting` are not kept from one task to the next."""
     spark = docs.sparkSession
     out_dir = out_dir or shared_dir(spark, "tokens")
 
@@ -220,6 +227,8 @@ def write_shards(
                     writer, first = ShardWriter(uri, coder.width, frame_bytes, level), (ids[0], xxhash.xxh64_intdigest(texts[0].encode()) >> 1)
                 for i, x in zip(ids, coder.encode(texts), strict=True):
                     writer.add(i, x + end)
+        encoder(tokenizer_path, remembered).trim(remembered if resting is None else resting)
+        pa.default_memory_pool().release_unused()
         if writer:
             frames = writer.close()
             yield pa.RecordBatch.from_pylist([{"path": uri, "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_frames": frames, "first_id": first[0], "has_id": first[0] is not None, "first_hash": first[1]}], schema=pa.schema([("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_frames", pa.int64()), ("first_id", pa.int64()), ("has_id", pa.bool_()), ("first_hash", pa.int64())]))
