@@ -34,10 +34,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, and one row for each document that they hold."""
+    """Token shards, and one row for each document that they hold.  Idle workers keep little, as other stages share their executors."""
     import public_tokenizers
 
-    return token_frames.read_shards(token_frames.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return token_frames.read_shards(token_frames.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=700_000, resting=100_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
