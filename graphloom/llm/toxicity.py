@@ -143,7 +143,7 @@ def score(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray, float]], *
                 if len(memory) > remembered:
                     memory.clear()
                 chunks = set((text or "").lower().split())
-                for c in chunks - memory.keys():
+                for c in [c for c in chunks if c not in memory]:  # a difference with the keys would walk through all of them
                     memory[c] = tuple(p for f in chunk_features(c, dim) if (p := place.get(f)) is not None) or none
                 hits = [p for c in chunks if (m := memory[c]) for p in m]
                 count = np.minimum(np.bincount(hits, minlength=len(used)), 3) if hits else None
