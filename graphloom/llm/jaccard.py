@@ -88,10 +88,10 @@ def digest(tokens: np.ndarray) -> int:
 
 
 def signatures(t: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a sorted set; frequent: a flag for each.  Sets of under five tokens link with equal sets only."""
+    """Signatures of a sorted set; frequent: a flag for each.  Sets of under four tokens link with equal sets only; four tokens link with themselves and one more."""
     n = len(t)
     need = n - math.ceil(n * OF / TIMES) + 1
-    if n < 5:
+    if n < 4:
         return np.zeros(0, np.uint64)
     rare = t[~frequent][:need]
     if len(rare) == need:
@@ -178,7 +178,7 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
             sigs, owners, sizes = [], [], []
             for text in texts_of(b):
                 t = shingle_set(text)
-                if len(t) < 5 or (d := digest(t)) in seen:
+                if len(t) < 4 or (d := digest(t)) in seen:
                     continue
                 seen.add(d)  # of this task's documents
                 s = signatures(t, often[(t >> np.uint64(44)).astype(np.int64) % width])

@@ -138,6 +138,24 @@ def test_no_link_misses_its_signature():
             assert sum(int(v).bit_count() for v in prints[0] ^ prints[1]) <= len(a ^ b)
 
 
+def test_join_links_four_shingles_with_five(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h i", "z a b c d e f g h", "p q r s t u v", "p q r s t u v w", "one two three", "one two three four"]
+    texts += ["k l m n o k l m n o k l m n", "k l m n o k l m n o k l m n x"]  # repeated words: few distinct shingles
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = jaccard.join(df).collect()
+    same(got, brute_join(data))
+    assert {r["doc_id"]: r["component_id"] for r in got}[1] == 0
+    same(jaccard.join(df, small=2, frequent=1).collect(), brute_join(data))
+    r = random.Random(12)
+    for _ in range(300):
+        b = sorted({r.getrandbits(63) for _ in range(5)})
+        a = sorted(r.sample(b, 4))
+        share = r.choice([2, 3, 10**9, 1])
+        sig = [set(jaccard.signatures(t := np.array(x, np.uint64), t % np.uint64(share) == 0).tolist()) for x in (a, b)]
+        assert sig[0] & sig[1]
+
+
 def test_one_of_each_keeps_columns(docs):
     got = jaccard.one_of_each(docs)
     want = {(i, c) for i, _, c in brute_join(rows())}
