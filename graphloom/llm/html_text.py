@@ -8,15 +8,17 @@ Rendering: block elements stand on lines of their own, paragraphs, headings, lis
 and hang below it by nesting; table cells are padded to their column's width and joined by " | "; br breaks lines; hr is "---"; images show their alt text; quotes are
 led by "> ".
 
-Null html gives null text; empty html, or html without visible text, gives "".  Repeated rows are rendered each for itself.  Depth is bounded by `DEPTH`: deeper elements
-become children of the element at that depth, their text is kept.  Work is row by row, without a shuffle.
+Null html gives null text; empty html, or html without visible text, gives "".  Repeated rows are rendered each for itself.  Trees are built and rendered with explicit stacks,
+at any depth.  Only indentation is bounded: list items, quotes and dd nested more than `DEPTH` deep lead their first line, but not the lines after it, as lines would else grow with the
+depth.  Work is row by row, without a shuffle.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,23 +57,30 @@ class Node:
 
 def tree(source: str) -> Node:
     root = Node("html", {})
-    stack = [root]
+    stack, places = [root], {"html": [0]}  # places: where in the stack each tag is open
+
+    def last(names: Iterable[str]) -> int:
+        """The place of the nearest open one of names; 0 for none."""
+        return max((p[-1] for n in names if (p := places.get(n))), default=0)
+
+    def cut_at(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
 
     def close(names: tuple[str, ...] | frozenset, bounds: tuple[str, ...] | frozenset) -> None:
         """Ends the outermost of names that is open inside the nearest bound."""
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in bounds:
-                break
-            if stack[k].tag in names:
-                cut = k
-        if cut:
-            del stack[cut:]
+        if not any(places.get(n) for n in names):
+            return
+        bound = last(bounds)
+        cuts = [p[k] for n in names if (p := places.get(n)) and (k := bisect_right(p, bound)) < len(p)]
+        if cuts:
+            cut_at(min(cuts))
 
     def enter(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
+        if tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
     at, end = 0, len(source)
@@ -83,17 +92,14 @@ def tree(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:  # an end tag: to the nearest open one, not out of a table cell
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag or tag in HEADING and stack[k].tag in HEADING:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            k = last(HEADING if tag in HEADING else (tag,))
+            if k and (tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html") or k >= last(("td", "th", "caption"))):
+                cut_at(k)
             if tag == "br":
                 enter("br", {})
             continue
         attrs = {n.lower(): html.unescape(a or b or c or "") for n, a, b, c in ATTR.findall(m[3])}
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and places.get(tag):
             close(("head",), ())
             continue
         if tag in CLOSES:
@@ -101,9 +107,9 @@ def tree(source: str) -> Node:
         if tag in ENDS_P:
             close(("p",), BARRIER)
             if stack[-1].tag == "head":
-                stack.pop()
+                cut_at(len(stack) - 1)
         if tag in HEADING and stack[-1].tag in HEADING:
-            stack.pop()
+            cut_at(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             enter("tr", {})
         enter(tag, attrs)
@@ -111,8 +117,7 @@ def tree(source: str) -> Node:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             stack[-1].kids.append(html.unescape(source[at : stop.start() if stop else end]) if tag in ("textarea", "title") else source[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-            if stack[-1].tag == tag:
-                stack.pop()
+            cut_at(len(stack) - 1)
     if at < end:
         stack[-1].kids.append(html.unescape(source[at:]))
     return root
@@ -123,13 +128,27 @@ def hidden(n: Node) -> bool:
     return n.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or n.tag == "input" and a.get("type", "").lower() == "hidden" or n.tag == "dialog" and "open" not in a or "style" in a and bool(UNSHOWN.search(a["style"]))
 
 
+class Lead:
+    """What leads the lines of a list item or quote: the first one and the others."""
+
+    __slots__ = ("blank", "every", "filled", "first", "level", "opened", "owed", "rest")
+
+    def __init__(self, first: str, rest: str, outer: Lead | None):
+        self.level = (outer.level if outer else 0) + bool(rest)
+        self.first, self.rest = first, rest if self.level <= DEPTH else ""
+        self.every = (outer.every if outer else "") + self.rest
+        self.owed = self.blank = 0  # empty lines owed before the next, and empty ones that count if a next one comes
+        self.filled = self.opened = False  # has lines, has lines that are not empty
+
+
 class Page:
-    """Lines, and how many empty ones are owed before the next."""
+    """Lines, and what leads them.  Those up to `live` have opened and owe nothing: a line need not look at them."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
+        self.leads = [Lead("", "", None)]
+        self.live = -1
         self.line = ""
-        self.owed = 0
         self.space = False
 
     def text(self, s: str, pre: bool) -> None:
@@ -151,69 +170,132 @@ class Page:
     def end(self, keep: bool = False) -> None:
         """Ends the line; an empty one counts only where keep says so."""
         line, self.line, self.space = self.line.rstrip(), "", False
-        if line or keep:
-            if self.lines:
-                self.lines += [""] * self.owed
-            self.owed = 0
-            self.lines.append(line)
+        if line:
+            self.emit(line)
+        elif keep:
+            top = self.leads[-1]
+            top.blank += 1 + (top.owed if top.filled else 0)
+            top.owed, top.filled = 0, True
+            self.live = min(self.live, len(self.leads) - 2)
+
+    def emit(self, line: str) -> None:
+        blank, parts = 0, []
+        for k in range(len(self.leads) - 1, self.live, -1):
+            x = self.leads[k]
+            blank += x.blank + (x.owed if x.filled else 0)
+            parts.append(x.rest if x.opened or blank else x.first)
+            x.owed, x.blank, x.filled, x.opened = 0, 0, True, True
+        if self.live >= 0:
+            parts.append(self.leads[self.live].every)
+        self.live = len(self.leads) - 1
+        self.lines += [""] * blank
+        self.lines.append("".join(reversed(parts)) + line)
 
     def gap(self, n: int) -> None:
         self.end()
-        self.owed = max(self.owed, n)
+        top = self.leads[-1]
+        if n > top.owed:
+            top.owed = n
+            self.live = min(self.live, len(self.leads) - 2)
 
-    def done(self) -> list[str]:
+    def enter(self, first: str, rest: str) -> None:
         self.end()
-        while self.lines and not self.lines[-1]:
-            self.lines.pop()
-        return self.lines
-
+        self.leads.append(Lead(first, rest, self.leads[-1]))
 
-def embed(page: Page, lines: list[str], first: str, rest: str) -> None:
-    page.end()
-    for k, line in enumerate(lines):
-        page.line = ((first if k == 0 else rest) + line) if line else ""
-        page.end(keep=True)
+    def leave(self) -> None:
+        self.end()
+        self.leads.pop()
+        self.live = min(self.live, len(self.leads) - 1)
 
 
-def grid(n: Node) -> tuple[list[list[str]], list[list[str]]]:
-    """Captions and the rows of cell texts, without those of inner tables."""
-    captions, rows, todo = [], [], [(k, False) for k in reversed(n.kids)]
+def grid(n: Node) -> tuple[list[Node | str], list[Node]]:
+    """Captions and rows, without those of inner tables."""
+    captions, rows, todo = [], [], n.kids[::-1]
     while todo:
-        k, _ = todo.pop()
+        k = todo.pop()
         if isinstance(k, str):
             if k.strip():
-                captions.append([" ".join(k.split())])
+                captions.append(k)
         elif hidden(k):
             continue
         elif k.tag == "tr":
-            cells = []
-            for c in k.kids:
-                if isinstance(c, Node) and not hidden(c):
-                    lines = render(c)
-                    cells.append(" ".join(x.strip() for x in lines if x) if c.tag in ("td", "th") else " ".join(lines))
-                    span = c.attrs.get("colspan", "")
-                    cells += [""] * (min(int(span), 50) - 1 if span.isdigit() else 0)
-                elif isinstance(c, str) and c.strip():
-                    cells.append(" ".join(c.split()))
-            if any(cells):
-                rows.append(cells)
+            rows.append(k)
         elif k.tag in ("thead", "tbody", "tfoot"):
-            todo += [(x, False) for x in reversed(k.kids)]
+            todo += reversed(k.kids)
         else:
-            captions.append(render(k))
+            captions.append(k)
     return captions, rows
 
 
-def render(top: Node, pre: bool = False) -> list[str]:
-    """Visible lines below top.  Recursion goes as deep as the tree, which is bounded."""
-    page = Page()
-    walk(top, page, pre)
-    return page.done()
+def cells_of(row: Node) -> Generator[Node, list[str], list[str]]:
+    """The row's cell texts; asks for the lines of its cells."""
+    cells = []
+    for c in row.kids:
+        if isinstance(c, Node) and not hidden(c):
+            lines = yield c
+            cells.append(" ".join(x.strip() for x in lines if x) if c.tag in ("td", "th") else " ".join(lines))
+            span = c.attrs.get("colspan", "")
+            cells += [""] * (min(int(span), 50) - 1 if span.isdigit() else 0)
+        elif isinstance(c, str) and c.strip():
+            cells.append(" ".join(c.split()))
+    return cells
+
+
+def render(top: Node) -> list[str]:
+    """Visible lines below top.  Table cells that walks ask for are rendered from a stack."""
+    walks, lines = [walk(top)], None
+    while walks:
+        try:
+            cell, lines = walks[-1].send(lines), None
+            walks.append(walk(cell))
+        except StopIteration as e:
+            walks.pop()
+            lines = e.value
+    return lines
 
 
-def walk(top: Node, page: Page, pre: bool) -> None:
-    number = int(s) if (s := top.attrs.get("start", "1")).lstrip("-").isdigit() and len(s) < 10 else 1
-    for k in top.kids:
+class Open:
+    """An element that is being rendered: kids that are left, the next item's number, and what its end does."""
+
+    __slots__ = ("gap", "kids", "leads", "number", "pre", "rows", "tag")
+
+    def __init__(self, n: Node, pre: bool, *, kids: list | None = None, gap: int = -1, leads: bool = False, rows: list[Node] | None = None):
+        self.tag, self.kids, self.pre, self.gap, self.leads, self.rows = n.tag, iter(n.kids if kids is None else kids), pre, gap, leads, rows
+        self.number = int(s) if (s := n.attrs.get("start", "1")).lstrip("-").isdigit() and len(s) < 10 else 1
+
+
+def walk(first: Node) -> Generator[Node, list[str], list[str]]:
+    """The visible lines below first; asks for the lines of table cells."""
+    page, todo = Page(), [Open(first, False)]
+    while todo:
+        top = todo[-1]
+        pre, k = top.pre, next(top.kids, None)
+        if k is None:
+            todo.pop()
+            if top.leads:
+                page.leave()
+            if top.rows is not None:
+                rows = []
+                for r in top.rows:
+                    cells = yield from cells_of(r)
+                    if any(cells):
+                        rows.append(cells)
+                width = [max((len(r[j]) for r in rows if j < len(r)), default=0) for j in range(max(map(len, rows), default=0))]
+                for r in rows:
+                    page.line = " | ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip()
+                    page.end(keep=True)
+            if top.gap >= 0:
+                page.gap(top.gap)
+            continue
+        if top.rows is not None:  # a table's captions
+            if isinstance(k, str):
+                page.end()
+                page.line = " ".join(k.split())
+                page.end(keep=True)
+            else:
+                page.enter("", "")
+                todo.append(Open(k, False, leads=True))
+            continue
         if isinstance(k, str):
             page.text(k, pre)
             continue
@@ -233,33 +315,27 @@ def walk(top: Node, page: Page, pre: bool) -> None:
         elif tag == "table":
             page.gap(1)
             captions, rows = grid(k)
-            for c in captions:
-                embed(page, c, "", "")
-            width = [max((len(r[j]) for r in rows if j < len(r)), default=0) for j in range(max(map(len, rows), default=0))]
-            for r in rows:
-                page.line = " | ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip()
-                page.end(keep=True)
-            page.gap(1)
+            todo.append(Open(k, False, kids=captions, gap=1, rows=rows))
         elif tag == "li":
             ordered = top.tag == "ol"
-            lead = f"{number}. " if ordered else "- "
-            number += ordered
-            page.end()
-            if lines := render(k, pre):
-                embed(page, lines, lead, " " * len(lead))
+            lead = f"{top.number}. " if ordered else "- "
+            top.number += ordered
+            page.enter(lead, " " * len(lead))
+            todo.append(Open(k, pre, leads=True))
         elif tag in ("blockquote", "dd"):
-            page.gap(1 if tag == "blockquote" else 0)
-            lead = "> " if tag == "blockquote" else "    "
-            if lines := render(k, pre):
-                embed(page, lines, lead, lead)
-            page.gap(1 if tag == "blockquote" else 0)
+            n, lead = (1, "> ") if tag == "blockquote" else (0, "    ")
+            page.gap(n)
+            page.enter(lead, lead)
+            todo.append(Open(k, pre, gap=n, leads=True))
         elif tag in BLOCK:
             inner = tag in ("ul", "ol", "dl") and top.tag == "li"  # a list within an item stands close
-            page.gap(1 if tag in SPACED and not inner else 0)
-            walk(k, page, pre or tag in ("pre", "textarea"))
-            page.gap(1 if tag in SPACED and not inner else 0)
+            n = 1 if tag in SPACED and not inner else 0
+            page.gap(n)
+            todo.append(Open(k, pre or tag in ("pre", "textarea"), gap=n))
         else:
-            walk(k, page, pre)
+            todo.append(Open(k, pre))
+    page.end()
+    return page.lines
 
 
 def page_text(source: str | None) -> str | None:

@@ -387,3 +387,13 @@ def test_pipeline_is_its_operators(spark):
     assert docs.count() > sizes[0] > sizes[1] > sizes[2] > 0
     final = corpus_pipeline.run(spark, SF)
     assert final.count() == sizes[3] and json.loads(json.dumps(names))
+
+
+def test_html_at_any_depth():
+    page = html_text.page_text
+    for wrap, end in (("<div>" * 300, "</div>" * 300), ("<b>" * 20000, ""), ("<span><div>" * 10000, "")):
+        assert page(f"{wrap}<script>bad()</script><style>bad</style>a<p hidden>bad</p><p style='display:none'>bad</p><template>bad</template>b<ol><li>c<li>d</ol>{end}<p>e") == "ab\n\n1. c\n2. d\n\ne"
+        assert page(f"{wrap}<table><tr><td>a<td>b<tr><td>cc<td>d</table>{end}<p>e") == "a  | b\ncc | d\n\ne"
+    assert page("<div>" * 300 + "<section>a</section>b" + "</div>" * 299 + "c</div>d") == "a\n\nb\nc\nd"
+    assert page("<ul><li>x" * 30000).count("- x") == 30000
+    assert page("<table><tr><td>x" * 3000) == " ".join("x" * 3000)
