@@ -1,7 +1,7 @@
 """HTML extraction by layout: a tree builder with implied tags, visibility rules, and a renderer for blocks, lists and tables.
 
 Tokens go to a tree builder that knows void elements, raw-text elements, tags that close others (p, li, dt/dd, option, table parts, headings) and implied
-rows of tables; end tags without a start are dropped.  Hidden are script, style, template and their like, elements with the hidden attribute or
+rows of tables; text, and tags that a head cannot hold, end an open head; end tags without a start are dropped.  Hidden are script, style, template and their like, elements with the hidden attribute or
 aria-hidden="true", inline display:none or visibility:hidden, and hidden inputs.  All other text is visible and is emitted, white space collapsed except in pre and textarea.
 
 Rendering: block elements stand on lines of their own, paragraphs, headings, lists, tables and the like with an empty line between; list items get "- " or their number
@@ -43,8 +43,11 @@ ENDS_P = SPACED | frozenset("div header footer main nav aside address center fig
 BARRIER = frozenset("table td th caption button object template body html".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 DEPTH = 200
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: what an open head can hold; other tags and text end it
+OF_HEAD = frozenset("title meta link style script base basefont bgsound template noscript noframes head html".split())
+#: quotes delimit a value only where it begins, and where they are closed
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?)*+)(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
@@ -83,10 +86,15 @@ def tree(source: str) -> Node:
             places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
+    def text(s: str) -> None:
+        if stack[-1].tag == "head" and s.strip():
+            cut_at(len(stack) - 1)
+        stack[-1].kids.append(html.unescape(s))
+
     at, end = 0, len(source)
     for m in iter(lambda: TOKEN.search(source, at), None):
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(source[at : m.start()]))
+            text(source[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -102,12 +110,12 @@ def tree(source: str) -> Node:
         if tag in ("html", "body") and places.get(tag):
             close(("head",), ())
             continue
+        if stack[-1].tag == "head" and tag not in OF_HEAD:
+            cut_at(len(stack) - 1)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in ENDS_P:
             close(("p",), BARRIER)
-            if stack[-1].tag == "head":
-                cut_at(len(stack) - 1)
         if tag in HEADING and stack[-1].tag in HEADING:
             cut_at(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -119,7 +127,7 @@ def tree(source: str) -> Node:
             at = stop.end() if stop else end
             cut_at(len(stack) - 1)
     if at < end:
-        stack[-1].kids.append(html.unescape(source[at:]))
+        text(source[at:])
     return root
 
 

@@ -397,3 +397,15 @@ def test_html_at_any_depth():
     assert page("<div>" * 300 + "<section>a</section>b" + "</div>" * 299 + "c</div>d") == "a\n\nb\nc\nd"
     assert page("<ul><li>x" * 30000).count("- x") == 30000
     assert page("<table><tr><td>x" * 3000) == " ".join("x" * 3000)
+
+
+def test_html_keeps_text_after_open_heads_and_stray_quotes():
+    page = html_text.page_text
+    assert page("<html><head><title>T</title>Hello") == "Hello"
+    assert page("<head><title>T</title><font><p>one</p></font>two") == "one\n\ntwo"
+    assert page("<head>\n<meta charset=x><style>s</style><script>s</script><noscript>n</noscript><template>t</template>\n<a>x</a><title>T</title>y") == "xy"
+    assert page("<head><title>T</title></head><body>x") == page("<head><title>T</title><body>x") == page("<head><link rel=x>\n<p>x") == "x"
+    assert page("<a title=Bob's>Click</a> we don't <b>x") == "Click we don't x"
+    assert page("<a title='Bob>Click</a> here") == page('<a title="Bob>Click</a> here') == page("<a b'c>Click</a> here") == "Click here"
+    assert page("<img alt='1 > 0'/>,<img alt = \"it's\">,<img alt=a/b>,<img src=x\"y alt=z>,<p hidden=''>n") == "1 > 0,it's,a/b,z,"
+    assert page('<p title="a" b>x<p title=\'<b>"\'>y') == "x\n\ny"
