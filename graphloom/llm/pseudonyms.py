@@ -5,6 +5,8 @@ different values of one format stay different.  The formats: payment card number
 addresses, telephone numbers (+country (area) number or grouped), social security numbers, IBANs with a right check number, dates
 (year-month-day, day.month.year, month/day/year; real days of 1900 to 2099), e-mail addresses (local part) and
 secrets (hex of 32 digits or more).  Numbers that fail their check are left as they are.
+Runs of groups are read as a card or IBAN from each group on, the longest reading first that passes its check (an IBAN of its country's length before others): what stands
+beside a number, such as an expiry date, does not hide it.
 
 A value is read as a number below the size of its format, and a balanced Feistel network of ten keyed rounds on the next even number of
 bits is applied until the result is below that size again (cycle walking): a permutation of the format.  Check digits are recomputed.
@@ -41,6 +43,12 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\d))"
     r"|(?P<card>(?<![\d-])[0-9](?:[ -]?[0-9]){12,18}(?!\d))"
 )
+#: within a run that is no card as a whole, one may also begin after a dash
+WITHIN = re.compile(PATTERN.pattern.replace(r"(?P<card>(?<![\d-])", r"(?P<card>(?<!\d)"))
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 
 
 def permute(x: int, size: int, key: bytes, label: str) -> int:
@@ -169,16 +177,38 @@ def secret(v: str, key: bytes) -> str | None:
 MAKERS: dict[str, Callable[[str, bytes], str | None]] = {"email": email, "secret": secret, "iban": iban, "date": day, "ssn": ssn, "ip": ip, "card": card, "phone": phone}
 
 
+def readings(kind: str, v: str) -> Iterator[str]:
+    """v and, of cards and IBANs, its beginnings that end with a group."""
+    groups = [v[: m.start()] for m in re.finditer("[ -]", v)][::-1] if kind in ("card", "iban") else []
+    if kind == "iban" and (n := IBAN_LENGTH.get(v[:2])):
+        at = [k for k, c in enumerate(v, 1) if c != " "]
+        if n <= len(at):
+            yield v[: at[n - 1]]
+    yield v
+    for g in groups:
+        if kind == "iban" or 13 <= sum(c.isdigit() for c in g) <= 19:
+            yield g
+
+
 def replace(text: str, key: bytes, counts: Counter) -> str:
-    def new(m: re.Match) -> str:
+    out, done, at, run = [], 0, 0, 0  # done: up to where text is out; run: the end of a run that is no card as a whole
+    while True:
+        m = WITHIN.search(text, at) if at < run else None
+        if m is None or m.start() >= run:
+            m = PATTERN.search(text, at)
+        if m is None:
+            return "".join([*out, text[done:]])
         kind = m.lastgroup
-        made = MAKERS[kind](m.group(0), key)
-        if made is None:
-            return m.group(0)
-        counts[kind] += 1
-        return made
-
-    return PATTERN.sub(new, text)
+        for v in readings(kind, m.group(0)):
+            if (made := MAKERS[kind](v, key)) is not None:
+                counts[kind] += 1
+                out += [text[done : m.start()], made]
+                done = at = m.start() + len(v)
+                break
+        else:
+            at = m.start() + 1 if kind in ("card", "iban") else m.end()
+        if kind == "card":
+            run = max(run, m.end())
 
 
 def pseudonymise(docs: DataFrame, *, key: bytes = KEY, text_col: str = "text") -> DataFrame:

@@ -324,6 +324,23 @@ def test_pseudonyms_keep_their_format(spark, empty):
     assert pseudonyms.pseudonymise(empty).count() == 0
 
 
+def test_pseudonyms_find_numbers_beside_others():
+    def new(text):
+        counts = collections.Counter()
+        return pseudonyms.replace(text, pseudonyms.KEY, counts), dict(counts)
+
+    card, amex, iban = (new(x)[0] for x in ("4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332"))
+    assert len({card, amex, iban, "4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332"}) == 6
+    for text in ("C 12/25", "C 123", "12 C 99", "25-C", "ID12 C", "A", "A 12/25", "A C", "C A C 7", "I IN", "I INVOICE", "AB12 I A1", "I 2024 C 123"):
+        full = lambda c, a, i: re.sub(r"\b[CAI]\b", lambda m: {"C": c, "A": a, "I": i}[m[0]], text)  # noqa: B023, E731
+        count = {k: n for k, n in (("card", len(re.findall(r"\b[CA]\b", text))), ("iban", len(re.findall(r"\bI\b", text)))) if n}
+        assert new(full("4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332")) == (full(card, amex, iban), count), text
+    assert new("4111-1111-1111-1111-123")[0] == card.replace(" ", "-") + "-123"
+    assert new("DE89370400440532013000EUR")[1] == {"iban": 1}
+    for text in ("4111111111111112 12/25", "4111 1111 1111 1112 12/25", "MT85 MALT 0110 0001 2345 MTLC AST0 01S IN", "0000 0000 0000 0000 12"):
+        assert new(text) == (text, {})
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     assert sorted(pseudonyms.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))
