@@ -33,6 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -342,8 +343,8 @@ def across(placed: DataFrame, classes: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int = THIN, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: links of the row's class with other classes that were verified on the way."""
+def classified(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int = THIN, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, digest), one for each document; and (d, comp, component_id) for each class."""
     first = written(profile(docs, width), "sets")
     sets = first.where("digest is not null").select("doc_id", "n", "digest", "bits")
     flags = frequent_buckets(first.where("digest is null"), width, frequent)
@@ -367,17 +368,45 @@ def join(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int =
         comp = components(links.unionByName(proven(written(across(placed, classes), "pairs"))))
     comp = classes.join(comp, F.col("d") == F.col("node"), "left").select("d", "rep", F.coalesce("comp", "d").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = comp.join(least, "comp").select("d", "component_id")
-    rows = sets.drop("bits").join(named, sets["digest"] == named["d"], "left")
+    return sets.drop("bits"), comp.join(least, "comp").select("d", "comp", "component_id")
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    sets, named = classified(docs, **options)
+    rows = sets.join(named.drop("comp"), sets["digest"] == named["d"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest id, and of rows that repeat it, one."""
-    keep = join(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__i")).distinct()
+    """One row of each component: that with the smallest id (null last), then digest, then row hash.  Rows without words all stay, and of rows that repeat one of them, one."""
+    sets, named = classified(docs, **options)
+    least = sets.join(named, sets["digest"] == named["d"]).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k"))
+    best = least.select("k.doc_id", "k.digest", F.lit(True).alias("__one"))
+    wordless = sets.where("n = 0").select("doc_id", "digest", F.lit(False).alias("__one")).distinct()
+    ids = sets.groupBy(F.col("doc_id").alias("__j")).agg((F.min("digest") != F.max("digest")).alias("__many"))  # ids of several texts
+    keep = best.unionByName(wordless).join(ids, F.col("doc_id").eqNullSafe(F.col("__j")))
+    keep = written(keep.select(F.col("doc_id").alias("__i"), F.col("digest").alias("__k"), "__one", "__many"), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__d"))
-    rows = rows.join(keep, F.col("__d").eqNullSafe(F.col("__i"))).withColumn("__h", F.xxhash64("__row"))
-    return rows.dropDuplicates(["__d", "__h"]).select("__row.*")
+    rows = rows.join(keep, F.col("__d").eqNullSafe(F.col("__i")))
+    if not keep.where("__many").isEmpty():
+        rows = rows.where("not __many").unionByName(own_digest(rows.where("__many")))
+    rows = rows.withColumn("__h", F.xxhash64("__row"))
+    rows = rows.groupBy("__d", "__k", F.when(F.col("__one"), F.lit(0)).otherwise(F.col("__h")).alias("__g")).agg(F.min_by("__row", "__h").alias("__row"))
+    return rows.select("__row.*")
+
+
+def own_digest(rows: DataFrame) -> DataFrame:
+    """Rows whose text has the digest __k."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = pa.array([digest(shingle_set(t)) for t in texts_of(b, "__text")], pa.int64())
+            yield b.filter(pc.equal(own, b.column(b.schema.get_field_index("__k")))).select(names)
+        rest()
+
+    return rows.withColumn("__text", F.col("__row.text")).mapInArrow(run, rows.schema)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,18 @@ def test_one_of_each_keeps_columns(docs):
     assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {i for i, c in want if i == c}
 
 
+def test_one_of_each_chooses_rows(spark):
+    a, b = prose(60, 21), prose(60, 22)
+    data = [(None, a, "p"), (None, a + " tail", "q"), (None, b, "p"), (7, b + " tail", "r"), (7, "alone " * 9, "s"), (7, b, "r"), (7, None, "t"), (7, None, "t"), (7, " ", "u"), (3, prose(60, 23), "v"), (3, prose(60, 23), "w"), (2, prose(60, 23), "x"), (None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in jaccard.one_of_each(df).collect()]
+    assert len(got) == 7 and len(set(got)) == 7
+    assert sum(r in got for r in data[:2]) == 1 and sum(r in got for r in set(data[2:4] + data[5:6])) == 1 and data[2] not in got
+    for k in (4, 6, 8, 11, 12):
+        assert data[k] in got
+    same([tuple(r) for r in jaccard.one_of_each(df.repartition(5)).collect()], got)
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
 
