@@ -1,23 +1,30 @@
 """Substring dedup: every byte covered by a string of `length` bytes that also starts anywhere else goes.
 
-The idea is that of merging shard Burrows-Wheeler transforms by interleave refinement: suffixes lie in intervals of equal prefix, a refinement step splits each
-interval by more context, the merge only needs how many suffixes of each shard an interval holds, an interval of one suffix is finished (its common
-prefix ends there), and an interval of two or more at full depth is a repeat.  README says where this form departs from the textbook one: suffixes are
-sampled by content, intervals are named by hashes of their prefix and not kept in lexicographic order, and a step adds many bytes at once.
+Shards' suffix orders are merged by interleave refinement; no suffix of the corpus is ever sorted again as a whole.
 
-Sampling.  A window's anchor is the position of the smallest 8-byte hash, the leftmost on ties, among its first `REACH` positions, so equal windows have equal
-anchors.  Windows with one anchor form a run.  Refinement:
+Pre-filter.  A window's anchor is the position of the smallest 8-byte hash, the leftmost on ties, among its first `REACH` positions, so equal windows have
+equal anchors, at equal places, and equal cores: the length - REACH + 1 bytes from the anchor on, which lie in every window with that anchor.  Windows with one anchor
+form a run.  Each shard counts its runs by core and the merge adds the counts: a core that occurs once rules out all windows of its run (proof: an
+equal window would have its core).  Cores are compared by 64-bit polynomial hashes.
 
-1. by the length - REACH + 1 bytes that follow the anchor.  Each shard counts its suffixes by interval and sends an interval at most once a piece; intervals
-   of one suffix are finished: none of the run's windows repeats.
-2. in the others, by all bytes of the run's windows, to both sides: runs that are equal to another repeat as a whole.
-3. in intervals with unequal runs, by the bytes of each window.
+Merge.  What is left are intervals: the suffixes that begin with one core, from all shards.
 
-Between the steps only two bit sets of fixed size go to the executors, of intervals to refine; a false hit costs rows and is weeded out by the next step, which
-compares again.  Step 2 and 3 shuffle by interval, sort, and look at neighbouring rows as a stream, so no interval is ever held.
+1. Runs that are equal as a whole to another run of their interval repeat.  A shard settles what it holds twice and sends one run for each content; the
+   others are shuffled by content, sorted, and compared with their neighbours as a stream.  One run for each content goes on.
+2. An interval with unequal runs is merged symbol by symbol (`interleave`).  The interleave vector says which run stands at which place; a step
+   reads the symbol before each run's suffix (its Burrows-Wheeler symbol) and deals the places out by it, stably: that is the LF mapping, and turns the order of
+   suffixes into the order of those one symbol longer.  Common prefixes follow by recurrence: two neighbours with equal symbols share one more than the least
+   value between their old places.  Steps begin at the last byte that any window of the run covers, and go down to the first one.  After the step at a window's first byte,
+   neighbours that share at least the rest of the window lie in one repeated interval, and the window repeats.  This compares bytes, not hashes.
 
-Intervals and strings are compared by 64-bit polynomial hashes of their bytes.  Null texts are empty; texts below `length` bytes are kept whole.  Texts are cut into
-overlapping pieces of `PIECE` bytes, so memory is bounded for any length.  Rows that repeat an id are documents of their own.
+An interval of more than `most` runs of different content is not held: its windows are shuffled one by one, by a 64-bit hash, and compared with their neighbours as a
+stream.  That is exact for any size of interval, only slower.
+
+Between the steps, bit sets of cores go to the executors, 16 bits a core.  Where they would be larger than `bits`, cores are dealt into rounds, each with a
+set and a pass over the texts of its own.  A false hit costs rows and is weeded out by the comparison.
+
+Null texts are empty; texts below `length` bytes are kept whole.  Texts are cut into overlapping pieces of `PIECE` bytes, so memory is bounded for any
+length.  Rows that repeat an id, or have none, are documents of their own.  An empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-LENGTH, REACH, PIECE, BITS = 400, 128, 1 << 20, 1 << 26
+LENGTH, REACH, PIECE, BITS, MOST = 400, 128, 1 << 20, 1 << 28, 4096
 K = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 LETTERS = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)  # an odd number for each byte
@@ -61,7 +68,8 @@ class Runs:
     """Runs of a block of text pieces: piece (its number), at (first window in the block), n (windows), anchor."""
 
     def __init__(self, pieces: list[bytes], length: int):
-        raw = np.frombuffer(b"".join(pieces) + b"\0" * 8, np.uint8)
+        self.raw = b"".join(pieces) + b"\0" * 8
+        raw = np.frombuffer(self.raw, np.uint8)
         self.length, size = length, len(raw) - 8
         up, self.down = powers(size + 1)
         self.sums = np.zeros(size + 1, np.uint64)
@@ -121,8 +129,8 @@ def longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
 
 
-def interleave(rows: DataFrame, length: int) -> DataFrame:
-    """Step 1: core, n (suffixes), lo and hi (least and greatest run)."""
+def counted(rows: DataFrame, length: int) -> DataFrame:
+    """Cores of two or more runs: core, uneven (whether its runs differ), runs (a bound on the number of different ones)."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, runs in blocks(batches, length):
@@ -133,43 +141,68 @@ def interleave(rows: DataFrame, length: int) -> DataFrame:
             core, full = core[by], full[by]
             first = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
             last = np.append(first[1:], len(core)) - 1
-            yield pa.RecordBatch.from_arrays(longs(core[first], last - first + 1, full[first], full[last]), names=["core", "n", "lo", "hi"])
+            new = np.cumsum(np.append(True, (core[1:] != core[:-1]) | (full[1:] != full[:-1])))
+            yield pa.RecordBatch.from_arrays(longs(core[first], last - first + 1, full[first], full[last], new[last] - new[first] + 1), names=["core", "n", "lo", "hi", "runs"])
 
-    each = rows.mapInArrow(shard, "core long, n long, lo long, hi long")
-    return each.groupBy("core").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1").select("core", (F.col("lo") != F.col("hi")).alias("uneven"))
+    each = rows.mapInArrow(shard, "core long, n long, lo long, hi long, runs long")
+    sums = each.groupBy("core").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("runs").alias("runs"))
+    return sums.where("n > 1").select("core", (F.col("lo") != F.col("hi")).alias("uneven"), "runs")
 
 
 def bit_set(cores: DataFrame, bits: int) -> np.ndarray:
     """Two bits a core in a set of fixed size, put together by Spark in pieces of 4 KB."""
+    part = min(bits, 1 << 15)
 
     def fold(key: tuple, tab: pa.Table) -> pa.Table:
-        own = np.zeros(1 << 15, np.uint8)
+        own = np.zeros(part, np.uint8)
         own[tab.column("bit").to_numpy()] = 1
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
     h = F.xxhash64("core")
     places = cores.select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 20), F.lit(bits)))).alias("p"))
-    places = places.select((F.col("p") / (1 << 15)).cast("int").alias("piece"), F.pmod("p", F.lit(1 << 15)).cast("int").alias("bit")).distinct()
+    places = places.select((F.col("p") / part).cast("int").alias("piece"), F.pmod("p", F.lit(part)).cast("int").alias("bit")).distinct()
     out = np.zeros(bits // 8, np.uint8)
     for r in places.groupBy("piece").applyInArrow(fold, "piece int, raw binary").toLocalIterator():
-        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["raw"], np.uint8)
+        out[r["piece"] * part // 8 : (r["piece"] + 1) * part // 8] = np.frombuffer(r["raw"], np.uint8)
     return out
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first `keys` columns, in batches of about `size` that end with a group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < size:
+            continue
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        differs = np.zeros(b.num_rows - 1, bool)
+        for k in range(keys):
+            c = b.column(k).to_numpy()
+            differs |= c[1:] != c[:-1]
+        ends = np.flatnonzero(differs)
+        held = [b]
+        if len(ends):
+            yield b.slice(0, int(ends[-1]) + 1)
+            held = [b.slice(int(ends[-1]) + 1)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def repeated(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """Rows whose keys are those of another row: sorted by key, compared with their neighbours as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, twice = None, False  # the last row, not given out yet, and whether it repeats
-        names = [*keys, *keep]
         for b in batches:
             if not b.num_rows:
                 continue
             if held is not None:
                 b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            cols = [b.column(k).to_numpy() for k in range(len(keys))]
             same = np.ones(b.num_rows - 1, bool)
-            for c in cols:
+            for k in range(len(keys)):
+                c = b.column(k).to_numpy()
                 same &= c[1:] == c[:-1]
             hit = np.zeros(b.num_rows, bool)
             hit[1:] |= same
@@ -179,12 +212,53 @@ def repeated(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
             held, twice = b.slice(b.num_rows - 1), bool(hit[-1])
         if held is not None and twice:
             yield pa.RecordBatch.from_arrays([held.column(len(keys) + k) for k in range(len(keep))], names=keep)
-        del names
 
     sorted_ = rows.select(*keys, *keep).repartition(*keys).sortWithinPartitions(*keys)
     return sorted_.mapInArrow(run, ", ".join(f"{k} long" for k in keep))
 
 
+def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of values[lo] to values[hi], ends included, by doubling."""
+    out, width, table = np.empty(len(lo), values.dtype), hi - lo + 1, values
+    k = 0
+    while len(lo):
+        now = width >> k == 1
+        out[now] = np.minimum(table[lo[now]], table[hi[now] - (1 << k) + 1])
+        if (width >> (k + 1) == 0).all():
+            break
+        table = np.minimum(table[: -(1 << k)], table[(1 << k) :])
+        k += 1
+    return out
+
+
+def interleave(interval: np.ndarray, symbols: np.ndarray, reach: int) -> np.ndarray:
+    """Merges the runs of intervals, given in ascending order (at most 65,536 of them): which windows repeat, as a matrix of runs and anchor distances.
+
+    symbols: a row a run; the columns hold the bytes around the core, from the last one after it to the first one before it, -1 where a run has none.  The window
+    whose anchor is d bytes in begins with column reach - 1 + d, in front of the reach - 1 - d bytes that it has before and reach - 1 in all beside the core."""
+    n, full = len(interval), reach - 1
+    group = interval.astype(np.uint16)
+    at = np.arange(n)  # the interleave vector: the run at each place
+    common = np.zeros(n, np.int16)  # with the place before
+    hit = np.zeros((n, reach), bool)
+    for k in range(symbols.shape[1] + 1):
+        if k >= full:
+            shared = common >= full
+            shared[:-1] |= shared[1:]
+            hit[at[shared], k - full] = True
+        if k == symbols.shape[1]:
+            return hit
+        own = symbols[at, k]
+        by = np.argsort((own + 1).astype(np.uint16), kind="stable")
+        by = by[np.argsort(group[by], kind="stable")]  # where each place's suffix, one symbol longer, comes to stand
+        own = own[by]
+        same = np.flatnonzero((own[1:] == own[:-1]) & (group[1:] == group[:-1]) & (own[1:] >= 0)) + 1
+        longer = np.zeros(n, np.int16)
+        longer[same] = 1 + range_min(common, by[same - 1] + 1, by[same])
+        at, common = at[by], longer
+    return hit
+
+
 def member(bits: np.ndarray, core: np.ndarray) -> np.ndarray:
     """Whether the bit set has the cores: Spark's xxhash64 of a long, in numpy."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -202,26 +276,49 @@ def member(bits: np.ndarray, core: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(rows: DataFrame, length: int, bits: int) -> DataFrame:
+def spans(rows: DataFrame, length: int, bits: int, most: int) -> DataFrame:
     """key, at, n: repeated bytes of each row, as they are found; they overlap."""
-    spark = rows.sparkSession
-    intervals = written(interleave(rows, length), "intervals")
-    some = spark.sparkContext.broadcast(bit_set(intervals.select("core"), bits))
-    uneven = spark.sparkContext.broadcast(bit_set(intervals.where("uneven").select("core"), bits))
+    cores = written(counted(rows, length), "cores")
+    n = cores.count()
+    rounds = max(1, -(-16 * n // bits))
+    found = None
+    for k in range(rounds):
+        own = cores if rounds == 1 else cores.where(F.pmod(F.xxhash64(F.lit("round"), "core"), F.lit(rounds)) == k)
+        one = round_spans(rows, own, length, bits, most)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def round_spans(rows: DataFrame, cores: DataFrame, length: int, bits: int, most: int) -> DataFrame:
+    """spans() of the runs with these cores."""
+
+    def shared(df: DataFrame):
+        return rows.sparkSession.sparkContext.broadcast(bit_set(df.select("core"), min(bits, max(1 << 15, 1 << (16 * df.count()).bit_length()))))  # at most `bits`
+
+    wide = cores.where(F.col("uneven") & (F.col("runs") > most))
+    some, uneven, large = shared(cores), shared(cores.where("uneven")), shared(wide)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of repeated cores.  sure: equal to another one of the block; of those, one goes on as not sure, too."""
         for keys, starts, runs in blocks(batches, length):
-            core = runs.core()
-            on = member(some.value, core)
+            core, full = runs.core(), runs.full()
+            on = np.flatnonzero(member(some.value, core))
+            on = on[np.lexsort((full[on], core[on]))]
+            new = np.append(True, (core[on[1:]] != core[on[:-1]]) | (full[on[1:]] != full[on[:-1]]))[: len(on)]
+            twice = ~new
+            twice[:-1] |= ~new[1:]
+            on, sure = np.append(on[new], on[twice]), np.append(np.zeros(new.sum(), bool), np.ones(twice.sum(), bool))
             piece = runs.piece[on]
             at = np.array(starts, np.int64)[piece] + runs.at[on] - runs.begin[piece]
-            yield pa.RecordBatch.from_arrays(longs(core[on], runs.full()[on], np.array(keys, np.int64)[piece], at, runs.n[on] + length - 1), names=["core", "full", "key", "at", "n"])
+            yield pa.RecordBatch.from_arrays([*longs(core[on], full[on], np.array(keys, np.int64)[piece], at, runs.n[on] + length - 1), pa.array(sure)], names=["core", "full", "key", "at", "n", "sure"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # equal runs are settled by step 2: the first of a task stands for them
+    def different(batches: Iterator[pa.RecordBatch], out_of_hand: bool) -> Iterator[tuple[list[int], list[int], Runs, np.ndarray]]:
+        """Runs of uneven cores, one for each content in a task: equal ones are settled and it stands for them."""
+        seen: set[int] = set()
         for keys, starts, runs in blocks(batches, length):
             core, full = runs.core(), runs.full()
             on = np.flatnonzero(member(uneven.value, core))
+            on = on[member(large.value, core[on]) == out_of_hand]
             if len(seen) > 500_000:
                 seen.clear()
             new = []
@@ -229,34 +326,62 @@ def spans(rows: DataFrame, length: int, bits: int) -> DataFrame:
                 if f not in seen:
                     seen.add(f)
                     new.append(k)
-            on = np.array(new, np.int64)
-            if not len(on):
-                continue
+            if new:
+                yield keys, starts, runs, np.array(new, np.int64)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes before and after the core that windows of the run cover."""
+        for keys, starts, runs, on in different(batches, False):
+            piece, before = runs.piece[on], runs.anchor[on] - runs.at[on]
+            begin = np.array(starts, np.int64)[piece] - runs.begin[piece]
+            cut = length - REACH + 1
+            sides = [runs.raw[a : c] + runs.raw[c + cut : a + m - 1 + length] for a, c, m in zip(runs.at[on].tolist(), runs.anchor[on].tolist(), runs.n[on].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*longs(runs.core()[on], runs.full()[on], np.array(keys, np.int64)[piece], begin + runs.anchor[on], before), pa.array(sides, pa.binary())], names=["core", "full", "key", "anchor", "before", "sides"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in groups(batches, 1, 8000):
+            core, full, key, anchor, before = (b.column(k).to_numpy() for k in range(5))
+            fresh = np.append(True, core[1:] != core[:-1])
+            on = np.flatnonzero(fresh | np.append(True, full[1:] != full[:-1]))  # one for each content
+            sides = b.column(5).take(pa.array(on)).to_pylist()
+            interval = np.cumsum(fresh)[on] - 1
+            # the runs' bytes in reverse, set against the core
+            symbols = np.full((len(on), 2 * REACH - 2), -1, np.int16)
+            for k, (raw, m) in enumerate(zip(sides, before[on].tolist(), strict=True)):
+                x = np.frombuffer(raw, np.uint8)[::-1]
+                lo = REACH - 1 + m - len(x)
+                symbols[k, lo : lo + len(x)] = x
+            hit = interleave(interval, symbols, REACH)
+            edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            (row, first), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # stretches of windows: distances first to end - 1
+            yield pa.RecordBatch.from_arrays(longs(key[on][row], anchor[on][row] - end + 1, end - first - 1 + length), names=["key", "at", "n"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, starts, runs, on in different(batches, True):
             n = runs.n[on]
             run = np.repeat(on, n)
             at = runs.at[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
             piece = runs.piece[run]
             yield pa.RecordBatch.from_arrays(longs(runs.hashes(at, at + length), np.array(keys, np.int64)[piece], np.array(starts, np.int64)[piece] + at - runs.begin[piece]), names=["w", "key", "at"])
 
-    runs_ = repeated(rows.mapInArrow(whole, "core long, full long, key long, at long, n long"), ["core", "full"], ["key", "at", "n"])
-    windows = repeated(rows.mapInArrow(each, "w long, key long, at long"), ["w"], ["key", "at"]).withColumn("n", F.lit(length).cast("long"))
-    return runs_.unionByName(windows)
+    equal = written(rows.mapInArrow(whole, "core long, full long, key long, at long, n long, sure boolean"), "runs")
+    found = equal.where("sure").select("key", "at", "n").unionByName(repeated(equal.where("not sure"), ["core", "full"], ["key", "at", "n"]))
+    sides = rows.mapInArrow(around, "core long, full long, key long, anchor long, before long, sides binary")
+    found = found.unionByName(sides.repartition("core").sortWithinPartitions("core", "full").mapInArrow(merge, "key long, at long, n long"))
+    if wide.isEmpty():
+        return found
+    each = repeated(rows.mapInArrow(windows, "w long, key long, at long"), ["w"], ["key", "at"])
+    return found.unionByName(each.withColumn("n", F.lit(length).cast("long")))
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS, most: int = MOST) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
-    key = F.xxhash64(F.lit("row"), "doc_id", "text", F.col("__k"))
-    # rows of one id and text are told apart by a number within their (nearly always single-row) group
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    many = numbered.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if many:
-        rows = numbered.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text")
-    else:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-        rows = written(numbered.withColumn("__k", F.row_number().over(order)).select(key.alias("key"), "doc_id", "text"), "rows")
-    cover = spans(rows.select("key", "text"), length, bits).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("cover"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows = rows.withColumn("key", F.col("doc_id"))
+    else:  # rows are numbered once, in a written table, so that they keep their numbers
+        rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
+    cover = spans(rows.select("key", "text"), length, bits, most).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("cover"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -66,6 +66,21 @@ def test_repeats_are_those_of_brute_force(docs, empty):
         want.append((i, len(raw), sum(hit), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(rest).hexdigest()))
     same(repeats.dedup(docs).drop("kept").collect(), want)
     assert repeats.dedup(empty).count() == 0
+    same(repeats.dedup(docs, bits=1 << 11, most=1).drop("kept").collect(), want)  # rounds, and windows one by one
+
+
+def test_interleave_finds_the_windows_that_repeat():
+    r, reach = np.random.default_rng(4), 6
+    for _ in range(200):
+        interval = np.sort(r.integers(0, 4, 30))
+        symbols = r.integers(0, 2, (30, 2 * reach - 2)).astype(np.int16)
+        for row in symbols:  # a run has the bytes of its own windows only
+            row[: r.integers(0, 3)] = row[len(row) - r.integers(0, 3) :] = -1
+        got = repeats.interleave(interval, symbols, reach)
+        keys = [[(int(interval[k]), tuple(symbols[k, d : d + reach - 1].tolist())) for d in range(reach)] for k in range(30)]
+        for d in range(reach):
+            n = collections.Counter(keys[k][d] for k in range(30))
+            assert [bool(x) for x in got[:, d]] == [n[keys[k][d]] > 1 and -1 not in keys[k][d][1] for k in range(30)]
 
 
 def test_repeats_across_pieces(spark, monkeypatch):
