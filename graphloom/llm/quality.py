@@ -3,12 +3,14 @@
 Two multinomials over hashed word 1- and 2-grams: one of the trusted documents (label quality = 1), one of the whole corpus.
 A document's score is the mean, over its n-grams, of log p_trusted - log p_raw; documents below a fixed threshold go.
 Everything is DataFrame functions.  Counting explodes n-gram buckets into a partial aggregation, so a task shuffles at most
-`buckets` rows whatever its input; the model is one array of fixed length, a literal of the plan; scoring is a
-per-row fold without a shuffle.
+`buckets` rows whatever its input; the model is one array, a literal of the plan; scoring is a per-row fold without a shuffle.
+The number of buckets follows the corpus, a power of two: one for each 8 KB of text, from `buckets` up to `most_buckets` (2 MB of numbers).
+
+Verdicts are written before they are given out.  A filter or an aggregate right above the scoring would make the optimizer copy it into itself, again and again.
 
 Null text or text without a word has no n-grams: score null, base_failed true, kept false.  Rows that repeat are judged each
 for itself.  The trusted set is at most `max_trusted` labelled ids, those of smallest hash; corpus counts cover all documents.
-With no trusted document all ratios are those of the smoothing alone.
+With no trusted document all ratios are those of the smoothing alone.  An empty table gives no rows.
 Repeated windows within a text are found by a 64-bit hash of five words.
 """
 
@@ -17,25 +19,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, packed, table, words, written
+from .common import NOT_SPACE, table, words, written
 
-BUCKETS, MAX_TRUSTED, THRESHOLD, SMOOTHING = 1 << 14, 20_000, -0.09, 1.0
+BUCKETS, MOST_BUCKETS, PER_BUCKET, MAX_TRUSTED, THRESHOLD, SMOOTHING = 1 << 14, 1 << 18, 1 << 13, 20_000, -0.09, 1.0
 
 
-def ngram_buckets(w: Column, buckets: int) -> Column:
-    """Buckets of all words and all pairs of neighbours."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.transform(
-        F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.pmod(F.xxhash64(F.get(w, i), F.lit(" "), F.get(w, i + 1)), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(one, two)
+def joined(a: Column, b: Column, gap: int) -> Column:
+    """Hashes of a's items with the items of b that stand `gap` places later."""
+    n = F.greatest(F.size(b) - gap, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), F.least(n, F.size(a))), F.slice(b, F.lit(gap + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def in_buckets(h: Column, buckets: int) -> Column:
+    return F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """rows with h1 and h2, the hashes of words (column w) and of pairs of neighbours."""
+    return rows.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x))).withColumn("h2", joined(F.col("h1"), F.col("h1"), 1))
+
+
+def bucket_count(docs: DataFrame, least: int, most: int) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(least, 1 << (size // PER_BUCKET).bit_length()), max(least, most))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> list[float]:
     """log p_trusted - log p_raw by bucket, to six places.  Only these `buckets` numbers come to the driver."""
     marked = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(trusted.withColumn("hit", F.lit(1))), "doc_id", "left")
-    each = marked.select("hit", F.explode(ngram_buckets(F.col("w"), buckets)).alias("bucket"))
+    each = hashed(marked).select("hit", F.explode(F.concat(in_buckets(F.col("h1"), buckets), in_buckets(F.col("h2"), buckets))).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("hit").alias("good"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     one = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("m"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
@@ -54,26 +66,30 @@ def constant(model: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
 
 
-def assess(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
-    """The input row as struct __row, with the base figures, the score and the verdict beside it."""
-    model = constant(log_ratios(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted_ids(labels, max_trusted), buckets, smoothing))
-    rows = packed(docs, "text")
-    rows = rows.select("__row", F.coalesce("text", F.lit("")).alias("t")).select("__row", "t", words(F.col("t")).alias("w"))
-    rows = rows.select(
-        "__row", "t", "w",
-        F.filter(F.split("t", "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"),
-        F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))).otherwise(F.array().cast("array<bigint>")).alias("h"),
-        ngram_buckets(F.col("w"), buckets).alias("b"),
-    )
+def assess(
+    docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, buckets: int = BUCKETS, most_buckets: int = MOST_BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD, smoothing: float = SMOOTHING
+) -> DataFrame:
+    """The input row (all columns, or those of `keep`) as struct __row, with the base figures, the score and the verdict beside it: a written table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = bucket_count(texts, buckets, most_buckets)
+    model = constant(log_ratios(texts, trusted_ids(labels, max_trusted), buckets, smoothing))
+    # each step carries on what later ones need, and no text
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("__row"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.select("__row", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"))
     rows = rows.select(
         "__row",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
-        F.try_divide(F.aggregate("b", F.lit(0.0), lambda a, k: a + F.get(model, k)), F.size("b")).alias("score"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
     )
+    base = ["__row", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.get(model, F.pmod(x, F.lit(buckets)).cast("int")))
+    rows = rows.select(*base, "h1", joined(F.col("h1"), F.col("h1"), 1).alias("h2"))
+    rows = rows.select(*base, F.try_divide(total("h1") + total("h2"), F.size("h1") + F.size("h2")).alias("score"), "h1", joined(F.col("h2"), F.col("h2"), 2).alias("h4"))
+    rows = rows.select(*base, "score", joined(F.col("h4"), F.col("h1"), 4).alias("h"))
+    rows = rows.select(*base, "score", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"))
     same = lambda i, j: F.coalesce(F.get("s", i)["x"] == F.get("s", j)["x"], F.lit(False))
     twice = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: same(i, i - 1) | same(i, i + 1))
     rows = rows.withColumn("at", F.when(F.col("s").isNotNull(), F.array_sort(F.transform(twice, lambda i: F.get("s", i)["i"])))).drop("s")
@@ -81,16 +97,14 @@ def assess(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_tr
     covered = F.aggregate("at", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")), lambda a: a["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    return written(rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))), "verdicts")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns.
-
-    The verdicts are written first: a filter right above them makes the optimizer copy the whole scoring into it, again and again."""
-    return written(assess(docs, labels, **options).select("__row", "n_words", "n_repeat_words", "base_failed", "score", "kept"), "verdicts").where("kept").select("__row.*")
+    """The documents that pass, with their own columns."""
+    return assess(docs, labels, **options).where("kept").select("__row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return rows.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))

@@ -238,7 +238,8 @@ def test_quality_base_figures_and_scores(spark, docs, empty):
     assert all(r["kept"] == (not r["base_failed"]) and (r["score"] is None) == (r["n_words"] == 0) for r in kept)
     good = quality.keep_good(docs, labels, threshold=-9.0)
     assert good.columns == docs.columns
-    assert quality.assess(empty, labels.limit(0)).count() == 0
+    assert quality.assess(empty, labels.limit(0)).count() == 0 and got.where("kept").agg(F.max("score")).count() == 1
+    assert [quality.bucket_count(docs, least, most) for least, most in ((4, 1 << 20), (64, 1 << 20), (4, 8))] == [8, 64, 8]
     # the ratio itself, over one bucket a gram
     a, b = (spark.createDataFrame([(1, "u v"), (2, "u u")], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     scores = {r[0]: r[1] for r in quality.assess(a, b, buckets=1 << 12, threshold=0.0).select("__row.doc_id", "score").collect()}
@@ -246,11 +247,12 @@ def test_quality_base_figures_and_scores(spark, docs, empty):
     assert scores[1] == pytest.approx((ratio(1, 3) + 2 * ratio(1, 1)) / 3, abs=1e-5) and scores[2] == pytest.approx((2 * ratio(1, 3) + ratio(0, 1)) / 3, abs=1e-5)
 
 
-def test_quality_keeps_labelled_good_documents(spark):
-    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.assess(d, lab).select(F.col("__row.doc_id").alias("doc_id"), "kept", "n_words", "base_failed").join(lab, "doc_id").where("not base_failed")
-    r = got.agg(F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))), F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int")))).first()
-    assert r[0] >= 0.99 and r[1] <= 0.05
+def test_quality_keeps_held_out_good_documents(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    got = quality.assess(d, lab.where(~test), keep=["doc_id"]).select("__row.doc_id", "kept", "base_failed").join(lab.where(test), "doc_id").where("not base_failed")
+    r = {x["quality"]: (x["share"], x["n"]) for x in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"), F.count("*").alias("n")).collect()}
+    assert r[1][0] >= 0.98 and r[1][1] > 500 and r[0][0] <= 0.1 and r[0][1] > 30
 
 
 def test_mixing_meets_targets(spark, docs, empty):
