@@ -1,10 +1,10 @@
-"""Substring dedup: every byte covered by a string of `length` bytes that also starts anywhere else goes.
+"""Substring dedup: every byte covered by a string of `length` bytes that also starts anywhere else goes; strings of `passage` bytes that do so are reported.
 
 Shards' suffix orders are merged by interleave refinement; no suffix of the corpus is ever sorted again as a whole.
 
 Pre-filter.  A window's anchor is the position of the smallest 8-byte hash, the leftmost on ties, among its first `REACH` positions, so equal windows have
-equal anchors, at equal places, and equal cores: the length - REACH + 1 bytes from the anchor on, which lie in every window with that anchor.  Windows with one anchor
-form a run.  Each shard counts its runs by core and the merge adds the counts: a core that occurs once rules out all windows of its run (proof: an
+equal anchors, at equal places, and equal cores: the passage - REACH + 1 bytes from the anchor on, which lie in every window with that anchor.  Windows of `passage` bytes
+with one anchor form a run; its extent goes on to the end of the windows of `length` bytes that begin in it, or of the text.  Each shard counts its runs by core and the merge adds the counts: a core that occurs once rules out all windows of its run (proof: an
 equal window would have its core).  Cores are compared by 64-bit polynomial hashes.
 
 Merge.  What is left are intervals: the suffixes that begin with one core, from all shards.
@@ -14,8 +14,8 @@ Merge.  What is left are intervals: the suffixes that begin with one core, from
 2. An interval with unequal runs is merged symbol by symbol (`interleave`).  The interleave vector says which run stands at which place; a step
    reads the symbol before each run's suffix (its Burrows-Wheeler symbol) and deals the places out by it, stably: that is the LF mapping, and turns the order of
    suffixes into the order of those one symbol longer.  Common prefixes follow by recurrence: two neighbours with equal symbols share one more than the least
-   value between their old places.  Steps begin at the last byte that any window of the run covers, and go down to the first one.  After the step at a window's first byte,
-   neighbours that share at least the rest of the window lie in one repeated interval, and the window repeats.  This compares bytes, not hashes.
+   value between their old places.  Steps begin at the last byte of the extents, and go down to the first one.  After the step at a window's first byte,
+   neighbours that share at least the rest of the window, as it is for either length, lie in one repeated interval, and the window repeats.  This compares bytes, not hashes.
 
 An interval of more than `most` runs of different content is not held: its windows are shuffled one by one, by a 64-bit hash, and compared with their neighbours as a
 stream.  That is exact for any size of interval, only slower.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-LENGTH, REACH, PIECE, BITS, MOST = 400, 128, 1 << 20, 1 << 28, 4096
+LENGTH, PASSAGE, REACH, PIECE, BITS, MOST = 400, 256, 128, 1 << 20, 1 << 28, 4096
 K = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 LETTERS = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)  # an odd number for each byte
@@ -65,12 +65,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Runs of a block of text pieces: piece (its number), at (first window in the block), n (windows), anchor."""
+    """Runs of a block of text pieces: piece (its number), at (first window in the block), n (windows), anchor, end (of the extent)."""
 
-    def __init__(self, pieces: list[bytes], length: int):
+    def __init__(self, pieces: list[bytes], length: int, passage: int):
         self.raw = b"".join(pieces) + b"\0" * 8
         raw = np.frombuffer(self.raw, np.uint8)
-        self.length, size = length, len(raw) - 8
+        self.core_size, size = passage - REACH + 1, len(raw) - 8
         up, self.down = powers(size + 1)
         self.sums = np.zeros(size + 1, np.uint64)
         np.cumsum(LETTERS[raw[:size]] * up[:size], out=self.sums[1:])
@@ -84,7 +84,7 @@ class Runs:
         self.begin = ends - [len(p) for p in pieces]
         good = np.zeros(len(anchor), bool)
         for a, z in zip(self.begin.tolist(), ends.tolist(), strict=True):
-            good[a : max(a, z - length + 1)] = True
+            good[a : max(a, min(a + PIECE, z - passage + 1))] = True
         where = np.flatnonzero(good)
         own = anchor[where]
         first = np.ones(len(where), bool)
@@ -93,47 +93,48 @@ class Runs:
         self.at, self.anchor = where[start], own[start]
         self.n = np.diff(np.append(start, len(where)))
         self.piece = np.searchsorted(ends, self.at, side="right")
+        self.end = np.minimum(self.at + self.n - 1 + length, ends[self.piece])
 
     def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mixed((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
     def core(self) -> np.ndarray:
-        return self.hashes(self.anchor, self.anchor + self.length - REACH + 1)
+        return self.hashes(self.anchor, self.anchor + self.core_size)
 
     def full(self) -> np.ndarray:
-        """Of all bytes of the run, and where the anchor is in them."""
-        return mixed(self.hashes(self.at, self.at + self.n - 1 + self.length) + (self.anchor - self.at).astype(np.uint64) * K)
+        """Of the extent, the anchor's place in it and the number of windows."""
+        return mixed(self.hashes(self.at, self.end) + ((self.anchor - self.at) * (1 << 20) + self.n).astype(np.uint64) * K)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[int], list[int], Runs]]:
+def blocks(batches: Iterator[pa.RecordBatch], length: int, passage: int) -> Iterator[tuple[list[int], list[int], Runs]]:
     """Row keys and offsets of pieces, and their runs, about PIECE bytes at a time.  Columns: key, text."""
     keys, starts, pieces, size = [], [], [], 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             for key, text in zip(batch.column(0).slice(lo, 500).to_pylist(), batch.column(1).slice(lo, 500).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                for a in range(0, len(raw) - length + 1, PIECE):
+                for a in range(0, len(raw) - passage + 1, PIECE):
                     piece = raw[a : a + PIECE + length - 1]
                     if size + len(piece) > PIECE and pieces:
-                        yield keys, starts, Runs(pieces, length)
+                        yield keys, starts, Runs(pieces, length, passage)
                         keys, starts, pieces, size = [], [], [], 0
                     keys.append(key)
                     starts.append(a)
                     pieces.append(piece)
                     size += len(piece)
     if pieces:
-        yield keys, starts, Runs(pieces, length)
+        yield keys, starts, Runs(pieces, length, passage)
 
 
 def longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
 
 
-def counted(rows: DataFrame, length: int) -> DataFrame:
+def counted(rows: DataFrame, length: int, passage: int) -> DataFrame:
     """Cores of two or more runs: core, uneven (whether its runs differ), runs (a bound on the number of different ones)."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, runs in blocks(batches, length):
+        for _, _, runs in blocks(batches, length, passage):
             core, full = runs.core().view(np.int64), runs.full().view(np.int64)
             if not len(core):
                 continue
@@ -231,23 +232,25 @@ def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def interleave(interval: np.ndarray, symbols: np.ndarray, reach: int) -> np.ndarray:
-    """Merges the runs of intervals, given in ascending order (at most 65,536 of them): which windows repeat, as a matrix of runs and anchor distances.
+def interleave(interval: np.ndarray, symbols: np.ndarray, first: np.ndarray, last: np.ndarray, after: int, rest: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the runs of intervals, given in ascending order (at most 65,536 of them): which windows repeat, for either length, as matrices of runs and anchor distances.
 
-    symbols: a row a run; the columns hold the bytes around the core, from the last one after it to the first one before it, -1 where a run has none.  The window
-    whose anchor is d bytes in begins with column reach - 1 + d, in front of the reach - 1 - d bytes that it has before and reach - 1 in all beside the core."""
-    n, full = len(interval), reach - 1
+    symbols: a row a run; the columns hold the bytes around the core, from the last of `after` bytes behind it to the first one before it, -1 where a run has none.
+    A run's windows have anchor distances from first to last.  The window of distance d begins with column after + d - 1; rest: how many bytes beside the core make up a
+    window of each length."""
+    n, reach = len(interval), symbols.shape[1] - after + 1
     group = interval.astype(np.uint16)
     at = np.arange(n)  # the interleave vector: the run at each place
     common = np.zeros(n, np.int16)  # with the place before
-    hit = np.zeros((n, reach), bool)
+    hits = tuple(np.zeros((n, reach), bool) for _ in rest)
     for k in range(symbols.shape[1] + 1):
-        if k >= full:
-            shared = common >= full
-            shared[:-1] |= shared[1:]
-            hit[at[shared], k - full] = True
+        if (d := k - after) >= 0:
+            own = (first[at] <= d) & (d <= last[at])
+            for size, hit in zip(rest, hits, strict=True):
+                block = np.cumsum(common < size) - 1
+                hit[at, d] = own & (np.bincount(block, own)[block] >= 2)
         if k == symbols.shape[1]:
-            return hit
+            return hits
         own = symbols[at, k]
         by = np.argsort((own + 1).astype(np.uint16), kind="stable")
         by = by[np.argsort(group[by], kind="stable")]  # where each place's suffix, one symbol longer, comes to stand
@@ -256,7 +259,7 @@ def interleave(interval: np.ndarray, symbols: np.ndarray, reach: int) -> np.ndar
         longer = np.zeros(n, np.int16)
         longer[same] = 1 + range_min(common, by[same - 1] + 1, by[same])
         at, common = at[by], longer
-    return hit
+    return hits
 
 
 def member(bits: np.ndarray, core: np.ndarray) -> np.ndarray:
@@ -276,21 +279,31 @@ def member(bits: np.ndarray, core: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(rows: DataFrame, length: int, bits: int, most: int) -> DataFrame:
-    """key, at, n: repeated bytes of each row, as they are found; they overlap."""
-    cores = written(counted(rows, length), "cores")
+def stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal stretches of a matrix's rows: row, first, end."""
+    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, first), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return row, first, end
+
+
+def spans(rows: DataFrame, length: int, passage: int, bits: int, most: int) -> DataFrame:
+    """key, at, n, goes: repeated bytes of each row, as they are found; they overlap.  goes: 1 for strings of `length`, 0 for those of `passage` bytes."""
+    cores = written(counted(rows, length, passage), "cores")
     n = cores.count()
     rounds = max(1, -(-16 * n // bits))
     found = None
     for k in range(rounds):
         own = cores if rounds == 1 else cores.where(F.pmod(F.xxhash64(F.lit("round"), "core"), F.lit(rounds)) == k)
-        one = round_spans(rows, own, length, bits, most)
+        one = round_spans(rows, own, length, passage, bits, most)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def round_spans(rows: DataFrame, cores: DataFrame, length: int, bits: int, most: int) -> DataFrame:
+def round_spans(rows: DataFrame, cores: DataFrame, length: int, passage: int, bits: int, most: int) -> DataFrame:
     """spans() of the runs with these cores."""
+    core_size = passage - REACH + 1
+    after = length - core_size
+    span = "key long, at long, n long, goes long"
 
     def shared(df: DataFrame):
         return rows.sparkSession.sparkContext.broadcast(bit_set(df.select("core"), min(bits, max(1 << 15, 1 << (16 * df.count()).bit_length()))))  # at most `bits`
@@ -300,7 +313,7 @@ def round_spans(rows: DataFrame, cores: DataFrame, length: int, bits: int, most:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of repeated cores.  sure: equal to another one of the block; of those, one goes on as not sure, too."""
-        for keys, starts, runs in blocks(batches, length):
+        for keys, starts, runs in blocks(batches, length, passage):
             core, full = runs.core(), runs.full()
             on = np.flatnonzero(member(some.value, core))
             on = on[np.lexsort((full[on], core[on]))]
@@ -310,12 +323,12 @@ def round_spans(rows: DataFrame, cores: DataFrame, length: int, bits: int, most:
             on, sure = np.append(on[new], on[twice]), np.append(np.zeros(new.sum(), bool), np.ones(twice.sum(), bool))
             piece = runs.piece[on]
             at = np.array(starts, np.int64)[piece] + runs.at[on] - runs.begin[piece]
-            yield pa.RecordBatch.from_arrays([*longs(core[on], full[on], np.array(keys, np.int64)[piece], at, runs.n[on] + length - 1), pa.array(sure)], names=["core", "full", "key", "at", "n", "sure"])
+            yield pa.RecordBatch.from_arrays([*longs(core[on], full[on], np.array(keys, np.int64)[piece], at, runs.n[on] - 1 + passage, runs.end[on] - runs.at[on]), pa.array(sure)], names=["core", "full", "key", "at", "n", "extent", "sure"])
 
     def different(batches: Iterator[pa.RecordBatch], out_of_hand: bool) -> Iterator[tuple[list[int], list[int], Runs, np.ndarray]]:
         """Runs of uneven cores, one for each content in a task: equal ones are settled and it stands for them."""
         seen: set[int] = set()
-        for keys, starts, runs in blocks(batches, length):
+        for keys, starts, runs in blocks(batches, length, passage):
             core, full = runs.core(), runs.full()
             on = np.flatnonzero(member(uneven.value, core))
             on = on[member(large.value, core[on]) == out_of_hand]
@@ -330,58 +343,75 @@ def round_spans(rows: DataFrame, cores: DataFrame, length: int, bits: int, most:
                 yield keys, starts, runs, np.array(new, np.int64)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes before and after the core that windows of the run cover."""
+        """The extent's bytes before and after the core."""
         for keys, starts, runs, on in different(batches, False):
             piece, before = runs.piece[on], runs.anchor[on] - runs.at[on]
             begin = np.array(starts, np.int64)[piece] - runs.begin[piece]
-            cut = length - REACH + 1
-            sides = [runs.raw[a : c] + runs.raw[c + cut : a + m - 1 + length] for a, c, m in zip(runs.at[on].tolist(), runs.anchor[on].tolist(), runs.n[on].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*longs(runs.core()[on], runs.full()[on], np.array(keys, np.int64)[piece], begin + runs.anchor[on], before), pa.array(sides, pa.binary())], names=["core", "full", "key", "anchor", "before", "sides"])
+            sides = [runs.raw[a:c] + runs.raw[c + core_size : z] for a, c, z in zip(runs.at[on].tolist(), runs.anchor[on].tolist(), runs.end[on].tolist(), strict=True)]
+            numbers = longs(runs.core()[on], runs.full()[on], np.array(keys, np.int64)[piece], begin + runs.anchor[on], before, runs.n[on])
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(sides, pa.binary())], names=["core", "full", "key", "anchor", "before", "n", "sides"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in groups(batches, 1, 8000):
-            core, full, key, anchor, before = (b.column(k).to_numpy() for k in range(5))
+            core, full, key, anchor, before, n = (b.column(k).to_numpy() for k in range(6))
             fresh = np.append(True, core[1:] != core[:-1])
             on = np.flatnonzero(fresh | np.append(True, full[1:] != full[:-1]))  # one for each content
-            sides = b.column(5).take(pa.array(on)).to_pylist()
             interval = np.cumsum(fresh)[on] - 1
-            # the runs' bytes in reverse, set against the core
-            symbols = np.full((len(on), 2 * REACH - 2), -1, np.int16)
-            for k, (raw, m) in enumerate(zip(sides, before[on].tolist(), strict=True)):
+            more = np.bincount(interval)[interval] > 1
+            on, interval = on[more], interval[more]
+            if not len(on):
+                continue
+            symbols = np.full((len(on), after + REACH - 1), -1, np.int16)  # the extents' bytes in reverse, set against the core
+            for k, (raw, m) in enumerate(zip(b.column(6).take(pa.array(on)).to_pylist(), before[on].tolist(), strict=True)):
                 x = np.frombuffer(raw, np.uint8)[::-1]
-                lo = REACH - 1 + m - len(x)
-                symbols[k, lo : lo + len(x)] = x
-            hit = interleave(interval, symbols, REACH)
-            edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            (row, first), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # stretches of windows: distances first to end - 1
-            yield pa.RecordBatch.from_arrays(longs(key[on][row], anchor[on][row] - end + 1, end - first - 1 + length), names=["key", "at", "n"])
+                symbols[k, after + m - len(x) : after + m] = x
+            hits = interleave(interval, symbols, before[on] - n[on] + 1, before[on], after, (passage - core_size, length - core_size))
+            for goes, (size, hit) in enumerate(zip((passage, length), hits, strict=True)):
+                row, first, end = stretches(hit)
+                yield pa.RecordBatch.from_arrays(longs(key[on][row], anchor[on][row] - end + 1, end - first - 1 + size, np.full(len(row), goes)), names=["key", "at", "n", "goes"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, starts, runs, on in different(batches, True):
-            n = runs.n[on]
-            run = np.repeat(on, n)
-            at = runs.at[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            piece = runs.piece[run]
-            yield pa.RecordBatch.from_arrays(longs(runs.hashes(at, at + length), np.array(keys, np.int64)[piece], np.array(starts, np.int64)[piece] + at - runs.begin[piece]), names=["w", "key", "at"])
-
-    equal = written(rows.mapInArrow(whole, "core long, full long, key long, at long, n long, sure boolean"), "runs")
-    found = equal.where("sure").select("key", "at", "n").unionByName(repeated(equal.where("not sure"), ["core", "full"], ["key", "at", "n"]))
-    sides = rows.mapInArrow(around, "core long, full long, key long, anchor long, before long, sides binary")
-    found = found.unionByName(sides.repartition("core").sortWithinPartitions("core", "full").mapInArrow(merge, "key long, at long, n long"))
+            for goes, size in enumerate((passage, length)):
+                n = np.clip(np.minimum(runs.n[on], runs.end[on] - runs.at[on] - size + 1), 0, None)
+                run = np.repeat(on, n)
+                at = runs.at[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                piece = runs.piece[run]
+                yield pa.RecordBatch.from_arrays(longs(runs.hashes(at, at + size), np.full(len(at), goes), np.array(keys, np.int64)[piece], np.array(starts, np.int64)[piece] + at - runs.begin[piece], np.full(len(at), size)), names=["w", "goes", "key", "at", "n"])
+
+    equal = written(rows.mapInArrow(whole, "core long, full long, key long, at long, n long, extent long, sure boolean"), "runs")
+    same = equal.where("sure").select("key", "at", "n", "extent").unionByName(repeated(equal.where("not sure"), ["core", "full"], ["key", "at", "n", "extent"]))
+    kinds = F.array(F.struct("key", "at", "n", F.lit(0).cast("long").alias("goes")), F.struct("key", "at", F.col("extent").alias("n"), F.lit(1).cast("long").alias("goes")))
+    found = same.select(F.inline(kinds)).where(f"goes = 0 or n >= {length}")
+    sides = rows.mapInArrow(around, "core long, full long, key long, anchor long, before long, n long, sides binary")
+    found = found.unionByName(sides.repartition("core").sortWithinPartitions("core", "full").mapInArrow(merge, span))
     if wide.isEmpty():
         return found
-    each = repeated(rows.mapInArrow(windows, "w long, key long, at long"), ["w"], ["key", "at"])
-    return found.unionByName(each.withColumn("n", F.lit(length).cast("long")))
+    return found.unionByName(repeated(rows.mapInArrow(windows, f"w long, goes long, {span.removesuffix(', goes long')}"), ["w", "goes"], ["key", "at", "n", "goes"]))
+
+
+def covered(cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint stretches of the places that spans (begin, end) cover, neighbours joined."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(cover):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
+
 
+def dedup(docs: DataFrame, *, length: int = LENGTH, passage: int = PASSAGE, bits: int = BITS, most: int = MOST) -> DataFrame:
+    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256; n_repeated: the bytes covered by strings of `passage` bytes that also start anywhere else.
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS, most: int = MOST) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
+    passage is at most length, and more than REACH."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         rows = rows.withColumn("key", F.col("doc_id"))
     else:  # rows are numbered once, in a written table, so that they keep their numbers
         rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
-    cover = spans(rows.select("key", "text"), length, bits, most).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("cover"))
+    cover = spans(rows.select("key", "text"), length, passage, bits, most).groupBy("key").agg(F.collect_list(F.struct("at", "n", "goes")).alias("cover"))
+    digest = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -389,23 +419,15 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS, most: int
                 part, out = b.slice(lo, 200), []
                 for text, cover in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    kept, at, removed, n = [], 0, 0, 0
-                    for a, z in sorted((c["at"], c["at"] + c["n"]) for c in cover or ()):
-                        if a > at or not n:
-                            kept.append(raw[at:a])
-                            n += 1
-                            removed += z - a
-                            at = z
-                        elif z > at:
-                            removed += z - at
-                            at = z
-                    rest = b"".join(kept) + raw[at:]
-                    out.append((rest, len(raw), removed, n, hashlib.sha256(rest).hexdigest()))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    gone, seen = (covered([(c["at"], c["at"] + c["n"]) for c in cover or () if c["goes"] == kind]) for kind in (1, 0))
+                    ends = [0, *(x for span in gone for x in span), len(raw)]
+                    rest = b"".join(raw[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True))
+                    out.append((rest, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), sum(z - a for a, z in seen)))
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), *(t for _, t in digest)), strict=True))], names=["doc_id", "kept", *(n for n, _ in digest)])
 
     both = rows.join(cover, "key", "left").select("doc_id", "text", "cover")
-    return both.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
 
 
 def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

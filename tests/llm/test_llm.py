@@ -53,40 +53,75 @@ def windows(raw, n=400):
     return (raw[s : s + n] for s in range(len(raw) - n + 1))
 
 
-def test_repeats_are_those_of_brute_force(docs, empty):
-    raws = [(r[0], (r[1] or "").encode()) for r in rows()]
-    seen = collections.Counter(w for _, raw in raws for w in windows(raw))
-    want = []
-    for i, raw in raws:
+def brute_cover(raws, n):
+    seen = collections.Counter(w for raw in raws for w in windows(raw, n))
+    out = []
+    for raw in raws:
         hit = bytearray(len(raw))
-        for s, w in enumerate(windows(raw)):
+        for s, w in enumerate(windows(raw, n)):
             if seen[w] > 1:
-                hit[s : s + 400] = b"\1" * 400
+                hit[s : s + n] = b"\1" * n
+        out.append(hit)
+    return out
+
+
+def test_repeats_are_those_of_brute_force(docs, empty):
+    raws = [(r[1] or "").encode() for r in rows()]
+    want = []
+    for (i, *_), raw, hit, also in zip(rows(), raws, brute_cover(raws, 400), brute_cover(raws, 256), strict=True):
         rest = bytes(b for b, h in zip(raw, hit, strict=True) if not h)
-        want.append((i, len(raw), sum(hit), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(rest).hexdigest()))
+        want.append((i, len(raw), sum(hit), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(rest).hexdigest(), sum(also)))
     same(repeats.dedup(docs).drop("kept").collect(), want)
     assert repeats.dedup(empty).count() == 0
     same(repeats.dedup(docs, bits=1 << 11, most=1).drop("kept").collect(), want)  # rounds, and windows one by one
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_with_edits_and_ends(spark, seed):
+    r = random.Random(seed)
+    passages, data = [prose(r.randint(40, 200), 100 + k) for k in range(6)], []
+    for k in range(60):
+        w = " ".join(r.choice(passages) if r.random() < 0.5 else prose(r.randint(1, 60), r.random()) for _ in range(r.randint(1, 4))).split()
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = "edit"
+        text = " ".join(w)
+        data.append((k, text[r.randint(0, 300) :][: r.choice([10**6, 300, 500])]))
+    raws = [t.encode() for _, t in data]
+    want = [(i, sum(a), sum(b)) for (i, _), a, b in zip(data, brute_cover(raws, 400), brute_cover(raws, 256), strict=True)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    same(repeats.dedup(df).select("doc_id", "n_removed", "n_repeated").collect(), want)
+
+
 def test_interleave_finds_the_windows_that_repeat():
-    r, reach = np.random.default_rng(4), 6
+    r, reach, after, rest = np.random.default_rng(4), 6, 8, (5, 8)
     for _ in range(200):
-        interval = np.sort(r.integers(0, 4, 30))
-        symbols = r.integers(0, 2, (30, 2 * reach - 2)).astype(np.int16)
-        for row in symbols:  # a run has the bytes of its own windows only
-            row[: r.integers(0, 3)] = row[len(row) - r.integers(0, 3) :] = -1
-        got = repeats.interleave(interval, symbols, reach)
-        keys = [[(int(interval[k]), tuple(symbols[k, d : d + reach - 1].tolist())) for d in range(reach)] for k in range(30)]
-        for d in range(reach):
-            n = collections.Counter(keys[k][d] for k in range(30))
-            assert [bool(x) for x in got[:, d]] == [n[keys[k][d]] > 1 and -1 not in keys[k][d][1] for k in range(30)]
+        interval, width = np.sort(r.integers(0, 4, 30)), after + reach - 1
+        symbols = r.integers(0, 2, (30, width)).astype(np.int16)
+        for row in symbols:
+            row[: r.integers(0, 5)] = row[len(row) - r.integers(0, 3) :] = -1
+        first = r.integers(0, 4, 30)
+        last = first + r.integers(0, 3, 30)
+        got = repeats.interleave(interval, symbols, first, last, after, rest)
+        for size, hit in zip(rest, got, strict=True):
+            for d in range(reach):
+                end = after + d
+                keys = [(int(interval[k]), tuple(symbols[k, end - size : end].tolist())) if first[k] <= d <= last[k] and -1 not in symbols[k, end - size : end] else None for k in range(30)]
+                n = collections.Counter(keys)
+                assert [bool(x) for x in hit[:, d]] == [k is not None and n[k] > 1 for k in keys]
 
 
 def test_repeats_across_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1500)
-    runs = [r for _, _, r in repeats.blocks(iter([__import__("pyarrow").RecordBatch.from_pydict({"key": [1], "text": ["ab" * 4000]})]), 400)]
-    assert sum(int(r.n.sum()) for r in runs) == 8000 - 399
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"key": [1], "text": ["ab" * 4000]})
+    runs = [r for _, _, r in repeats.blocks(iter([batch]), 400, 256)]
+    assert sum(int(r.n.sum()) for r in runs) == 8000 - 255
+
+
+def test_repeats_in_a_long_text(spark):
+    long = "".join(random.Random(9).choices("abcdefgh ", k=1_300_000))
+    df = spark.createDataFrame([(1, long), (2, long[1_048_000:1_049_500])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_repeated"], r["n_spans"]) for r in repeats.dedup(df).collect()}
+    assert got == {1: (1500, 1500, 1), 2: (1500, 1500, 1)}
 
 
 def shingles(text):
