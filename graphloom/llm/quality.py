@@ -30,8 +30,9 @@ def joined(a: Column, b: Column, gap: int) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), F.least(n, F.size(a))), F.slice(b, F.lit(gap + 1), n), lambda x, y: F.xxhash64(x, y))
 
 
-def in_buckets(h: Column, buckets: int) -> Column:
-    return F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+def bucket(h: Column, buckets: int) -> Column:
+    """buckets: a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def hashed(rows: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def bucket_count(docs: DataFrame, least: int, most: int) -> int:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> list[float]:
     """log p_trusted - log p_raw by bucket, to six places.  Only these `buckets` numbers come to the driver."""
     marked = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(trusted.withColumn("hit", F.lit(1))), "doc_id", "left")
-    each = hashed(marked).select("hit", F.explode(F.concat(in_buckets(F.col("h1"), buckets), in_buckets(F.col("h2"), buckets))).alias("bucket"))
+    each = hashed(marked).select("hit", F.explode(F.concat("h1", "h2")).alias("h")).select("hit", bucket(F.col("h"), buckets).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("hit").alias("good"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     one = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("m"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
@@ -85,10 +86,11 @@ def assess(
         F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
     )
     base = ["__row", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.get(model, F.pmod(x, F.lit(buckets)).cast("int")))
+    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.get(model, bucket(x, buckets)))
     rows = rows.select(*base, "h1", joined(F.col("h1"), F.col("h1"), 1).alias("h2"))
     rows = rows.select(*base, F.try_divide(total("h1") + total("h2"), F.size("h1") + F.size("h2")).alias("score"), "h1", joined(F.col("h2"), F.col("h2"), 2).alias("h4"))
-    rows = rows.select(*base, "score", joined(F.col("h4"), F.col("h1"), 4).alias("h"))
+    # five words repeat only where four do
+    rows = rows.select(*base, "score", F.when(F.size(F.array_distinct("h4")) < F.size("h4"), joined(F.col("h4"), F.col("h1"), 4)).alias("h"))
     rows = rows.select(*base, "score", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"))
     same = lambda i, j: F.coalesce(F.get("s", i)["x"] == F.get("s", j)["x"], F.lit(False))
     twice = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: same(i, i - 1) | same(i, i + 1))
