@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-LENGTH, PASSAGE, REACH, PIECE, BITS, MOST = 400, 256, 128, 1 << 20, 1 << 28, 4096
+LENGTH, PASSAGE, REACH, PIECE, BITS, MOST = 400, 256, 128, 1 << 20, 1 << 28, 1 << 15
 K = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 LETTERS = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)  # an odd number for each byte
