@@ -309,17 +309,32 @@ def test_mixing_meets_targets(spark, docs, empty):
     out = got.collect()
     assert sum(r["m"] for r in out) == len(data)
     for r in out:
-        assert r["source_size"] == by[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["copies"] <= 2
+        assert r["source_size"] == by[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["base"] <= 2 and 0 <= r["extra"] <= r["m"] * (2 - r["base"])
     for s in names:
-        taken = sum(r["size"] * r["m"] * r["copies"] for r in out if r["source"] == s)
-        assert abs(taken - target[s]) <= max(r["size"] * r["m"] for r in out if r["source"] == s)
+        taken = sum(r["size"] * (r["m"] * r["base"] + r["extra"]) for r in out if r["source"] == s)
+        assert abs(taken - target[s]) <= max(r["size"] for r in out if r["source"] == s)
     same([tuple(map(str, r)) for r in mixing.plan(docs.repartition(5)).collect()], [tuple(map(str, r)) for r in out])
     assert mixing.plan(empty).count() == 0 and mixing.mix(docs).columns == docs.columns
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 40 + 1).cast("int")).alias("text")).unionByName(spark.createDataFrame([(9999, "t", "w " * 40000)], "doc_id long, source string, text string"))
-    r = mixing.plan(many, chunk=16).where("source = 's'").agg(F.sum(F.col("size") * F.col("copies")), F.max("target"), F.countDistinct("copies")).first()
+    r = mixing.plan(many, chunk=16).where("source = 's'").agg(F.sum(F.col("size") * (F.col("base") + F.col("extra"))), F.max("target"), F.countDistinct("extra")).first()
     assert abs(r[0] - r[1]) <= 20 and r[2] == 2
 
 
+def test_mixing_splits_repeated_rows(spark, docs):
+    data = [(1, "a", "x y z", "u")] * 700 + [(1, "a", "x y z", "v")] * 300 + [(None, "a", "q r", "u")] * 5 + [(k, s, "one two three four", "u") for s in "bc" for k in range(10, 200)] + [(7, "b", None, "u")] * 3
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, size string").repartition(7)
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    plan = {r["source"]: (r["target"], r["taken"]) for r in mixing.plan(df).groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("size") * (F.col("m") * F.col("base") + F.col("extra"))).alias("taken")).collect()}
+    mixed = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    for s, (target, taken) in plan.items():
+        assert abs(target - taken) < 4 and mixed[s] == taken
+    ones = mixing.rounded(spark.range(40).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("size"), F.lit(0).cast("long").alias("t"), F.lit(1).cast("long").alias("m")).where("doc_id < 1"), spark.createDataFrame([("s", 10, 1, 3.0)], "source string, source_size long, n long, target double"))
+    assert ones.first()["extra"] in (0, 1)
+    drawn = [mixing.rounded(spark.createDataFrame([(k, "s", 10, 0, 1)], "doc_id long, source string, size long, t long, m long"), spark.createDataFrame([("s", 10, 1, 3.0)], "source string, source_size long, n long, target double")).first()["extra"] for k in range(12)]
+    assert 0 < sum(drawn) < 12  # drawn, not rounded to the nearer end
+
+
 def test_token_frames_round_trip(spark, docs, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
