@@ -5,7 +5,7 @@ rows of tables; text, and tags that a head cannot hold, end an open head; end ta
 aria-hidden="true", inline display:none or visibility:hidden, and hidden inputs.  All other text is visible and is emitted, white space collapsed except in pre and textarea.
 
 Rendering: block elements stand on lines of their own, paragraphs, headings, lists, tables and the like with an empty line between; list items get "- " or their number
-and hang below it by nesting; table cells are padded to their column's width and joined by " | "; br breaks lines; hr is "---"; images show their alt text; quotes are
+and hang below it by nesting; table cells are padded to their column's width and joined by " | " (a colspan counts for 50 columns at most); br breaks lines; hr is "---"; images show their alt text; quotes are
 led by "> ".
 
 Null html gives null text; empty html, or html without visible text, gives "".  Repeated rows are rendered each for itself.  Trees are built and rendered with explicit stacks,
@@ -45,12 +45,19 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 DEPTH = 200
 #: what an open head can hold; other tags and text end it
 OF_HEAD = frozenset("title meta link style script base basefont bgsound template noscript noframes head html".split())
-#: quotes delimit a value only where it begins, and where they are closed
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?)*+)(?:>|\Z)", re.S)
-ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+BETWEEN, NAME, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
+def _sent(found: Iterator, at: int):
+    """The next token from `at` on."""
+    try:
+        return found.send(at)
+    except StopIteration:
+        return None
+
+
 class Node:
     __slots__ = ("attrs", "kids", "tag")
 
@@ -58,6 +65,38 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+    """Tags and comments (with an empty name): begin, end, name, whether it is an end tag, attributes.  The receiver may send where to go on.
+
+    One pass: every search either ends the page or is where the next one starts.  Quotes delimit a value only where it begins, and where they are closed."""
+    n, at = len(source), 0
+    last = {c: source.rfind(c) for c in "\"'"}
+    while (k := source.find("<", at)) >= 0:
+        if source.startswith(("<!", "<?"), k):
+            comment = source.startswith("<!--", k)
+            end = source.find("-->" if comment else ">", k + (4 if comment else 2))
+            end = n if end < 0 else end + (3 if comment else 1)
+            yield k, end, "", False, {}
+            at = end
+            continue
+        if not (m := TAG.match(source, k)):
+            at = k + 1
+            continue
+        attrs, at = {}, m.end()
+        while (at := BETWEEN.match(source, at).end()) < n and source[at] != ">":
+            name = NAME.match(source, at)
+            value, at = "", name.end()
+            if eq := EQUALS.match(source, at):
+                at = eq.end()
+                if at < n and (c := source[at]) in last and at < last[c]:
+                    value, at = source[at + 1 : (end := source.find(c, at + 1))], end + 1
+                else:
+                    value, at = (bare := BARE.match(source, at))[0], bare.end()
+            attrs[name[0].lower()] = html.unescape(value)
+        at = min(at + 1, n)
+        at = (yield k, at, m[2].lower(), bool(m[1]), attrs) or at
+
+
 def tree(source: str) -> Node:
     root = Node("html", {})
     stack, places = [root], {"html": [0]}  # places: where in the stack each tag is open
@@ -91,22 +130,22 @@ def tree(source: str) -> Node:
             cut_at(len(stack) - 1)
         stack[-1].kids.append(html.unescape(s))
 
-    at, end = 0, len(source)
-    for m in iter(lambda: TOKEN.search(source, at), None):
-        if m.start() > at:
-            text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    at, end, found, skip = 0, len(source), tokens(source), None
+    while token := next(found, None) if skip is None else _sent(found, skip):
+        begin, after, tag, ends, attrs = token
+        skip = None
+        if begin > at:
+            text(source[at:begin])
+        at = after
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:  # an end tag: to the nearest open one, not out of a table cell
+        if ends:  # an end tag: to the nearest open one, not out of a table cell
             k = last(HEADING if tag in HEADING else (tag,))
             if k and (tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html") or k >= last(("td", "th", "caption"))):
                 cut_at(k)
             if tag == "br":
                 enter("br", {})
             continue
-        attrs = {n.lower(): html.unescape(a or b or c or "") for n, a, b, c in ATTR.findall(m[3])}
         if tag in ("html", "body") and places.get(tag):
             close(("head",), ())
             continue
@@ -122,9 +161,11 @@ def tree(source: str) -> Node:
             enter("tr", {})
         enter(tag, attrs)
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            stack[-1].kids.append(html.unescape(source[at : stop.start() if stop else end]) if tag in ("textarea", "title") else source[at : stop.start() if stop else end])
-            at = stop.end() if stop else end
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            close_at = source.find(">", stop.end()) + 1 if stop else 0
+            raw = source[at : stop.start() if close_at else end]
+            stack[-1].kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+            at = skip = close_at or end
             cut_at(len(stack) - 1)
     if at < end:
         text(source[at:])

@@ -505,3 +505,60 @@ def test_html_keeps_text_after_open_heads_and_stray_quotes():
     assert page("<a title='Bob>Click</a> here") == page('<a title="Bob>Click</a> here') == page("<a b'c>Click</a> here") == "Click here"
     assert page("<img alt='1 > 0'/>,<img alt = \"it's\">,<img alt=a/b>,<img src=x\"y alt=z>,<p hidden=''>n") == "1 > 0,it's,a/b,z,"
     assert page('<p title="a" b>x<p title=\'<b>"\'>y') == "x\n\ny"
+
+
+def test_html_is_read_in_one_pass():
+    import time
+
+    for unit in ("<a ", '<a x="', "<!--", "</script ", "< ", "<a b='x' "):
+        began = time.monotonic()
+        for page in (unit * 150_000 + '"', "<script>" + unit * 150_000):
+            html_text.page_text(page)
+        assert time.monotonic() - began < 20, unit
+
+
+def visible_page(r, deep):
+    """A page made at random, and the words that it shows, in order."""
+    word = lambda: "w" + "".join(r.choices("abcdefg", k=4))
+    kind = r.choice(["text", "div", "p", "b", "hidden", "script", "ul", "table", "h2", "img", "pre", "entity", "quote"] if deep else ["text", "entity"])
+    if kind == "text":
+        words = [word() for _ in range(r.randint(1, 4))]
+        return "  ".join(words) + r.choice([" ", "\n"]), words
+    if kind == "entity":
+        return "w&amp;x &lt;y&gt; ", ["w&x", "<y>"]
+    if kind == "img":
+        w = word()
+        return f"<img alt='{w}' src=x>", [w]
+    inner = [visible_page(r, deep - 1) for _ in range(r.randint(1, 3))]
+    text, words = " ".join(t for t, _ in inner), [w for _, ws in inner for w in ws]
+    if kind == "hidden":
+        return r.choice(["<div hidden>{}</div>", "<span style='color:red;display:none'>{}</span>", "<div aria-hidden=true>{}</div>", "<template>{}</template>", "<noscript>{}</noscript>"]).format(text), []
+    if kind == "script":
+        return "<script>if (a < b) { '<p>no</p>' }</script><!-- <p>no --><style>p{}</style>", []
+    if kind == "ul":
+        return "<ul>" + "".join(f"<li>{t}" for t, _ in inner) + "</ul>", words
+    if kind == "table":
+        cells = [word() for _ in range(r.choice([2, 4, 6]))]
+        return "<table>" + "".join(f"<tr><td>{a}<td>{b}" for a, b in zip(cells[::2], cells[1::2], strict=True)) + "</table>", cells
+    if kind == "p":
+        return f"<p>{inner[0][0]}" if not re.search("<(p|div|ul|table|h2|pre|blockquote)", inner[0][0]) else f"<div>{inner[0][0]}</div>", inner[0][1]
+    tag = {"quote": "blockquote"}.get(kind, kind)
+    return f"<{tag}>{text}</{tag}>", words
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_html_shows_all_visible_words_in_order(seed):
+    r = random.Random(seed)
+    for _ in range(150):
+        parts = [visible_page(r, 3) for _ in range(r.randint(1, 6))]
+        page = r.choice(["{}", "<html><head><title>t</title></head><body>{}</body></html>", "<!doctype html><body>{}"]).format("\n".join(f"<div>{t}</div>" for t, _ in parts))
+        shown = re.sub(r"(?m)^((?:  |> |- )*)", "", html_text.page_text(page)).replace(" | ", " ")
+        assert [w for w in shown.split() if w not in ("-", ">", "|")] == [w for _, ws in parts for w in ws], page
+
+
+def test_html_tables_and_repeated_rows(spark):
+    rows_ = [(1, "<p>a", 5, "n"), (1, "<p>a", 5, "n"), (None, "", None, None), (2, "<table><tr><td colspan=3>a<td>b<tr><td>1<td>2<td>3<td>4</table>", 6, "n")]
+    df = spark.createDataFrame(rows_, "page_id long, html string, n_lines long, __row string")
+    got = html_text.extract(df)
+    assert sorted(tuple(r) for r in got.select(F.coalesce("__row.page_id", F.lit(0)), "text", "n_lines").collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "a |   |   | b\n1 | 2 | 3 | 4", 2)]
+    assert html_text.extract(df.limit(0)).count() == 0
