@@ -7,8 +7,9 @@ with the shingle at offset o of the window, can only start at p - o: it must be
 window's length within the document (length bound).  What is left is verified by comparing the words.
 
 Everything is DataFrame functions.  Documents are exploded into shingle hashes and looked up in a broadcast table of windows
-while the words are at hand in the same row, so only hits are shuffled.  The table is broadcast only up to `max_broadcast`
-windows, counted beforehand; beyond that both sides are shuffled by shingle.
+while the words are at hand in the same row, so only hits are shuffled.  What is broadcast, shingles with their counts and windows with their words, is
+added up beforehand and sent only up to `max_broadcast` bytes; beyond that both sides are shuffled by shingle.  Shingles that make up more than a thousandth of the
+corpus, a thousand at most, are then salted: their windows go to `SALTS` keys each, their places to one of them.
 
 Null or wordless documents have no words and no hits; null or wordless items have no windows.  A null item_id's windows mark
 words but add no item.  Rows with equal id and text get the same figures each; extra columns play no part.
@@ -19,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, packed, table
+from .common import ascii_lower, packed, table, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, SHINGLE, MAX_BROADCAST = 10, 3, 1_000_000
+WINDOW, SHINGLE, MAX_BROADCAST, SALTS = 10, 3, 64 << 20, 16
 
 
 def item_words(text: Column) -> Column:
@@ -46,26 +47,37 @@ def occurrences(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_
     """One row for each place of a document where a window occurs: doc_id, text_hash, item_id, start, len."""
     windows = item_windows(items, window)
     found = None
-    sizes = {r[0]: r[1] for r in windows.groupBy(F.least(F.size("window"), F.lit(SHINGLE)).alias("k")).count().collect()}  # at most SHINGLE rows
+    # at most SHINGLE rows; a shingle is sent with its count (40 bytes), a window with its words (16 bytes beside each, 80 in all)
+    k_of, octets = F.least(F.size("window"), F.lit(SHINGLE)), F.octet_length(F.array_join("window", ""))
+    sizes = windows.groupBy(k_of.alias("k")).agg(F.sum(40 * (F.size("window") - k_of + 1) + octets + 16 * F.size("window") + 80).alias("bytes")).collect()
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), item_words(F.col("text")).alias("w"))
-    for k, n in sorted(sizes.items()):
-        small = F.broadcast if n <= max_broadcast else (lambda df: df)
+    for k, n in sorted((r["k"], r["bytes"]) for r in sizes):
+        sent = n <= max_broadcast
+        small = F.broadcast if sent else (lambda df: df)
         # a window as its shingles; the corpus tells how rare each is
-        own = windows.where(F.least(F.size("window"), F.lit(SHINGLE)) == k)
+        own = windows.where(k_of == k)
         parts = own.select("item_id", "window", F.posexplode(shingles(F.col("window"), k)).alias("o", "token"))
         tokens = parts.select("token").distinct()
         df = texts.select(F.explode(shingles(F.col("w"), k)).alias("token")).join(small(tokens), "token").groupBy("token").count()
         rarest = parts.join(small(df), "token").groupBy("item_id", "window").agg(F.min(F.struct("count", "token", "o")).alias("p"), F.count("*").alias("seen"))
         # a shingle that no document has rules its window out
-        prefix = rarest.where(F.col("seen") == F.size("window") - k + 1).select("item_id", "window", "p.token", "p.o")
+        prefix = rarest.where(F.col("seen") == F.size("window") - k + 1).select("item_id", "window", "p.token", "p.o", "p.count")
         placed = texts.select("doc_id", "text_hash", "w", F.posexplode(shingles(F.col("w"), k)).alias("p", "token"))
-        if n > max_broadcast:  # beyond it the words next to the shingle go along, not the document
+        on = ["token"]
+        if sent:
+            placed = placed.withColumns({"lo": F.lit(0), "n": F.size("w")})
+        else:  # the words next to the shingle go along, not the document
             lo = F.greatest(F.col("p") - window + 1, F.lit(0))
             placed = placed.select("doc_id", "text_hash", "p", "token", lo.alias("lo"), F.size("w").alias("n"), F.slice("w", lo + 1, F.lit(2 * window)).alias("w"))
-        else:
-            placed = placed.withColumns({"lo": F.lit(0), "n": F.size("w")})
+            prefix = written(prefix, "windows")
+            total = texts.agg(F.sum(F.greatest(F.size("w") - k + 1, F.lit(0)))).first()[0] or 0
+            common = F.col("count") * 1000 > total
+            hot = prefix.where(common).select("token").distinct().withColumn("hot", F.lit(True))  # a thousand at most, as their counts add up to the total
+            placed = placed.join(F.broadcast(hot), "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_hash", "p"), F.lit(SALTS))).otherwise(0)).drop("hot")
+            prefix = prefix.withColumn("salt", F.explode(F.when(common, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))))
+            on = ["token", "salt"]
         start, length = F.col("p") - F.col("o"), F.size("window")
-        hit = placed.join(small(prefix), "token").where((start >= 0) & (start + length <= F.col("n"))).where(F.slice("w", F.greatest(start - F.col("lo") + 1, F.lit(1)), length) == F.col("window"))
+        hit = placed.join(small(prefix.drop("count")), on).where((start >= 0) & (start + length <= F.col("n"))).where(F.slice("w", F.greatest(start - F.col("lo") + 1, F.lit(1)), length) == F.col("window"))
         hit = hit.select("doc_id", "text_hash", "item_id", start.alias("start"), length.alias("len"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:

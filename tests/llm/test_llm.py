@@ -242,7 +242,7 @@ def brute_marks(data, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST, 0])
 def test_marks_are_brute_force(spark, docs, empty, limit):
     base = prose(400, 1)
     items = [(1, " ".join(base.split()[20:45])), (11, "one"), (2, "ONE, two!"), (3, None), (4, " ?! "), (5, "x y z"), (6, prose(30, 77)), (None, " ".join(base.split()[100:112])), (1, "tail")]
