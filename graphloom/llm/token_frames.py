@@ -17,11 +17,15 @@ id order, null ids first, then by text; rows that repeat an id are kept, each wi
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +46,9 @@ RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 class ChunkEncoder:
     """Encodes texts with a tokenizers file, remembering the ids of chunks between single spaces.
 
-    The byte-level splitter never joins characters across a space between two non-space characters, nor across a single
-    line break between two, so a text's ids are those of its chunks.  Texts where white space stands together, or that hold
-    an added token's string, are encoded whole.  The memory is emptied at `limit` chunks."""
+    GPT-2's byte-level splitter never joins characters across a space between two non-space characters, nor across a single
+    line break between two, so a text's ids are those of its chunks.  Texts where white space stands together, at an end, or is of another kind, or that hold
+    an added token's string, are encoded whole; so are all texts where the file has another splitter or a normalizer.  The memory is emptied at `limit` chunks."""
 
     def __init__(self, path: str, limit: int = 1_400_000):
         import os
@@ -55,25 +59,55 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.inner: dict[str, bytes] = {}  # chunks after a space
-        self.outer: dict[str, bytes] = {}  # chunks at a text's or line's start
+        self.code = "H" if self.width == "<u2" else "I"
+        self.inner: dict[str, bytes | None] = {}  # chunks after a space; None: texts with it are encoded whole
+        self.outer: dict[str, bytes | None] = {}  # chunks at a text's or line's start
+        with open(path, encoding="utf-8") as f:
+            says = json.load(f)
+        pre, post = says.get("pre_tokenizer") or {}, says.get("post_processor") or {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not says.get("normalizer") and post.get("type", "ByteLevel") == "ByteLevel"
+        self.by_chunk = plain and says["model"].get("type", "BPE") == "BPE" and not says.get("truncation") and not any(c in t for t in added for c in " \n")
+        self.odd = re.compile("|".join([r"\s", *map(re.escape, added)]))
         self.marks = {"\n": self._ids(["\n"])[0]}
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"^\s", r"\s$", r"[^\S \n]", *added]))
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, memory: dict[str, bytes], lead: str, new: set[str]) -> None:
-        new.discard("")
-        bare = {c for c in new if "\n" not in c}
-        # letters and the marks that close them are two pieces for the splitter
-        parts = {c: (c[:k], c[k:]) for c in bare if 0 < (k := len(c.rstrip(MARKS))) < len(c) and c[:k].isalpha()}
-        first = list((bare - parts.keys()) | ({h for h, _ in parts.values()} - memory.keys()))
-        memory.update(zip(first, self._ids([lead + c for c in first]), strict=True))
-        tails = list({t for _, t in parts.values()} - self.marks.keys())
-        self.marks.update(zip(tails, self._ids(tails), strict=True))
-        for c, (head, tail) in parts.items():
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _apart(self, pieces: list[str], group: int = 64) -> list[bytes]:
+        """_ids of pieces without line breaks, some in one text: a line break before a piece is a token of its own."""
+        mark = self.marks["\n"]
+        size = len(mark)
+        if size != int(self.width[-1]):
+            return self._ids(pieces)
+        out, (line,) = [], np.frombuffer(mark, self.width)
+        for e in self.tokenizer.encode_batch_fast(["\n" + "\n".join(pieces[k : k + group]) for k in range(0, len(pieces), group)], add_special_tokens=False):
+            ids = np.array(e.ids, self.width)
+            at = (np.flatnonzero(ids == line) * size).tolist()
+            raw = ids.tobytes()
+            out += [raw[a + size : z] for a, z in zip(at, [*at[1:], len(raw)], strict=True)]
+        return out
+
+    def _learn(self, memory: dict[str, bytes | None], lead: str, new: set[str]) -> None:
+        whole, letters, first, tails = self.odd.search, {}, set(), set()
+        for c in new:
+            k = len(c.rstrip(MARKS))
+            if 0 < k < len(c) and c[:k].isalpha():  # letters and the marks that close them are two pieces for the splitter
+                letters[c] = (head := c[:k]), (tail := c[k:])
+                tails.add(tail)
+                if head not in memory:
+                    first.add(head)
+            else:
+                first.add(c)
+        alone = [c for c in first if not c.isalnum() and whole(c)]
+        first.difference_update(alone)
+        memory.update(dict.fromkeys(alone))
+        pieces = list(first)
+        memory.update(zip(pieces, self._apart([lead + c for c in pieces] if lead else pieces), strict=True))
+        pieces = list(tails - self.marks.keys())
+        self.marks.update(zip(pieces, self._apart(pieces), strict=True))
+        for c, (head, tail) in letters.items():
             memory[c] = memory[head] + self.marks[tail]
 
     def trim(self, limit: int) -> None:
@@ -85,22 +119,29 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         self.trim(self.limit)
         out: list[bytes | None] = [None] * len(texts)
-        rest, split = [], []
+        rest, split, inner, outer = [], [], set(), set()
+        get, begun = self.inner.get, self.outer
         for k, text in enumerate(texts):
-            if not text or self.whole.search(text):
+            if not text or not self.by_chunk or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
                 rest.append(k)
-            else:
-                split.append((k, [line.split(" ") for line in text.split("\n")]))
-        inner, outer = set(), set()
-        for _, lines in split:
-            for chunks in lines:
-                outer.add(chunks[0])
-                inner.update(chunks[1:])
-        self._learn(self.inner, " ", inner - self.inner.keys())
-        self._learn(self.outer, "", outer - self.outer.keys())
-        get, line_break = self.inner.__getitem__, self.marks["\n"]
+                continue
+            lines = []
+            for line in text.split("\n"):
+                first, *chunks = line.split(" ")
+                if first not in begun:
+                    outer.add(first)
+                ids = list(map(get, chunks))
+                inner.update(compress(chunks, map(not_, ids)))  # those without ids yet
+                lines.append((first, chunks, ids))
+            split.append((k, lines))
+        self._learn(self.inner, " ", inner)
+        self._learn(self.outer, "", outer)
+        line_break = self.marks["\n"]
         for k, lines in split:
-            out[k] = line_break.join([self.outer[c[0]] + b"".join(map(get, c[1:])) for c in lines])
+            try:
+                out[k] = line_break.join([begun[first] + b"".join([x or get(c) for x, c in zip(ids, chunks, strict=True)]) for first, chunks, ids in lines])
+            except TypeError:  # a chunk that is not to be encoded alone
+                rest.append(k)
         for k, ids in zip(rest, self._ids([texts[k] for k in rest]), strict=True):
             out[k] = ids
         return out
@@ -260,7 +301,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=schema)
 
-    return placed.repartition(64, F.xxhash64("path")).mapInArrow(read, RESULT)
+    return placed.repartition(max(1, manifest.count() // 2), "path").mapInArrow(read, RESULT)  # about two shards a task
 
 
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -562,3 +562,30 @@ def test_html_tables_and_repeated_rows(spark):
     got = html_text.extract(df)
     assert sorted(tuple(r) for r in got.select(F.coalesce("__row.page_id", F.lit(0)), "text", "n_lines").collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "a |   |   | b\n1 | 2 | 3 | 4", 2)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_chunk_encoder_equals_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    parts = ["a", "Ab", " ", "\n", "  ", "don't", "'s", "12", ".", ",", "<|endoftext|>", "\t", "é", "漢", "##!", "...", "!\n", " ", "“q”", "\r\n", "_", "", "word", "unseenword"]
+    r = random.Random(3)
+    texts = ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    full = Tokenizer.from_file(path)
+    coder = token_frames.ChunkEncoder(path, limit=500)
+    for lo in range(0, 4000, 500):
+        assert coder.encode(texts[lo : lo + 500]) == [np.array(e.ids, coder.width).tobytes() for e in full.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+    assert coder.by_chunk
+
+
+def test_chunk_encoder_encodes_whole_texts_with_another_splitter(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, " ": 1, "b": 2, "a ": 3, "a b": 4}, [("a", " "), ("a ", "b")]))  # no splitter: merges go over spaces
+    t.save(str(tmp_path / "t.json"))
+    coder = token_frames.ChunkEncoder(str(tmp_path / "t.json"))
+    assert not coder.by_chunk and coder.encode(["a b", "b a"]) == [np.array(x, "<u2").tobytes() for x in ([4], [2, 1, 0])]
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "t.json"))
+    assert not token_frames.ChunkEncoder(str(tmp_path / "t.json")).by_chunk
