@@ -10,12 +10,14 @@ with x prefix tokens counts x - 1.  The count must reach e + 1.  As both prefixe
 shorter prefix lie in both, so they share a signature: no link is lost.  The number of sub-classes follows from the set's size level (powers of 1.25), and as similar
 sets are at most one level apart, frequent pairs are made for the own and the next level.
 
-Classes.  Frequencies come from one counting sketch over all documents: `width` counters, a fixed size whatever the input.  Any classes are
+Classes.  Frequencies come from one counting sketch over all documents: a counter for each KB of text, from `width` up to 8 times that (32 MB a task).  Any classes are
 correct; they only decide how selective the signatures are.
 
 Candidates.  Signatures are shuffled and sorted; a run of one signature is read as a stream, never held.  Runs of up to `small` classes give all pairs whose sizes
 fit.  Longer runs give star pairs with their first four members (for one in `thin` of the signatures), and their members go to the family that is named after the first.  After the
-first components are known, only members outside a family's largest component are compared with members of its other components.  Nothing is capped or dropped.
+first components are known, only members outside a family's largest component are compared with members of its other components, in blocks of at most `BLOCK` members by
+`BLOCK`, so that a family is many tasks.  Nothing is capped or dropped; a family that falls apart into many components costs the square of its members in comparisons of
+fingerprints, not in rows.
 
 Verification.  Each class has a fingerprint of two to four bits a shingle, which bounds what two sets can share from above; pairs that it rules out go first.  For the others, it computes the sets again from the texts of class representatives and compares exactly.  Components are found by alternating large-star
 and small-star steps over written tables.
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORDS, TIMES, OF = 5, 100, 80  # links: TIMES * intersection >= OF * union
-WIDTH, SMALL, THIN, FREQUENT, BITMAP, MAX_BROADCAST = 1 << 20, 16, 8, 64, 256, 1_000_000
+WIDTH, SMALL, THIN, FREQUENT, BITMAP, MAX_BROADCAST, BLOCK, MADE = 1 << 20, 16, 8, 64, 256, 1_000_000, 256, 400_000
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -194,18 +196,22 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
         rest()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by signature and class: what one run holds is at most `small` members."""
+        """Over rows sorted by signature and class: what one run holds is at most `small` members, and `MADE` rows that were given out already."""
         now, held, leads, last, out, made = None, [], [], None, [], set()
 
+        def give(row: tuple[int, int, bool]) -> None:
+            """Once, as far as is remembered."""
+            if row not in made:
+                if len(made) >= MADE:
+                    made.clear()
+                made.add(row)
+                out.append(row)
+
         def pair(x: tuple[int, int], y: tuple[int, int]) -> None:
             lo, hi = sorted((x[1], y[1]))
             if TIMES * lo >= OF * hi and x[0] != y[0]:
                 p = (min(x[0], y[0]), max(x[0], y[0]), False)
-                if p not in made:
-                    if len(made) > 400_000:
-                        made.clear()
-                    made.add(p)
-                    out.append(p)
+                give(p)
 
         def close() -> None:
             for k, x in enumerate(held):
@@ -218,9 +224,7 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
             return got
 
         def member(sig: int, x: tuple[int, int]) -> None:
-            if (f := (leads[0][0], x[0], True)) not in made:
-                made.add(f)
-                out.append(f)
+            give((leads[0][0], x[0], True))
             if sig % thin == 0:
                 for y in leads:
                     pair(y, x)
@@ -335,16 +339,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def across(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of a family's members outside its largest component with members of other components, as far as fingerprints leave room for a link.
 
-    Ids, sizes and fingerprints are shuffled by family; a pair that is ruled out is never a row, and Spark splits a family that stands out."""
-    own = placed.join(classes.select("d", "n", "bits"), "d")
-    x = own.where("out").select("family", F.col("d").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    y = own.select("family", F.col("d").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    met = x.alias("l").join(y.alias("r"), (F.col("l.family") == F.col("r.family")) & (F.col("cx") != F.col("cy")) & room("nx", "ny", "bx", "by"))
+    A family of n members is dealt into about n / BLOCK parts on either side, by hash, and every two parts meet under a key of their own, so a key has about 2 * BLOCK
+    rows and a row goes to n / BLOCK keys.  A pair that is ruled out is never a row."""
+    parts = placed.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.max(F.col("out").cast("int")).alias("any")).where("any = 1").drop("any")
+    own = placed.join(parts, "family").join(classes.select("d", "n", "bits"), "d")
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "d"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = own.where("out").select("family", part("x").alias("i"), every.alias("j"), F.col("d").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    y = own.select("family", every.alias("i"), part("y").alias("j"), F.col("d").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    met = x.join(y, ["family", "i", "j"]).where((F.col("cx") != F.col("cy")) & room("nx", "ny", "bx", "by"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def sketch_width(docs: DataFrame, least: int) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(least, 1 << (size >> 10).bit_length()), 8 * least)
+
+
 def classified(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin: int = THIN, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, digest), one for each document; and (d, comp, component_id) for each class."""
+    width = sketch_width(docs, width)
     first = written(profile(docs, width), "sets")
     sets = first.where("digest is not null").select("doc_id", "n", "digest", "bits")
     flags = frequent_buckets(first.where("digest is null"), width, frequent)

@@ -156,7 +156,8 @@ def test_join_is_brute_force(docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
-def test_join_finds_chains_in_large_families(spark):
+def test_join_finds_chains_in_large_families(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
     r, base, data = random.Random(3), prose(150, 8).split(), []
     for k in range(60):
         w = list(base)
@@ -165,7 +166,7 @@ def test_join_finds_chains_in_large_families(spark):
         data.append((k, " ".join(w)))
     data += [(100 + k, " ".join(base[:60]) + " " + prose(120, 50 + k)) for k in range(40)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    same(jaccard.join(df, small=4, frequent=5).collect(), brute_join(data))
+    same(jaccard.join(df, small=4, frequent=5, width=64).collect(), brute_join(data))
 
 
 def test_no_link_misses_its_signature():
