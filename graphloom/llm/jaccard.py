@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
 WORDS, TIMES, OF = 5, 100, 80  # links: TIMES * intersection >= OF * union
 WIDTH, SMALL, THIN, FREQUENT, BITMAP, MAX_BROADCAST, BLOCK, MADE = 1 << 20, 16, 8, 64, 256, 1_000_000, 256, 400_000
@@ -275,7 +275,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(low, "a")
         small = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = written(small.where("a <> b").distinct(), "edges")
+        old, e = e, written(small.where("a <> b").distinct(), "edges")
+        forget(old)
         new = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
             break
@@ -370,7 +371,9 @@ def classified(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin:
     def proven(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
         tokens = written(token_sets(docs, nodes.join(classes.select("d", "rep"), "d")), "tokens")
-        return written(verified(pairs, tokens), "links")
+        links = written(verified(pairs, tokens), "links")
+        forget(pairs, tokens)
+        return links
 
     links = proven(pairs)
     comp = components(links)
@@ -379,7 +382,11 @@ def classified(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin:
         placed = fam.join(comp.select(F.col("node").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
         main = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
         placed = written(placed.join(main, "family").select("family", "d", "comp", (F.col("comp") != F.col("main")).alias("out")), "families")
-        comp = components(links.unionByName(proven(written(across(placed, classes), "pairs"))))
+        more = proven(written(across(placed, classes), "pairs"))
+        forget(placed)
+        comp = components(links.unionByName(more))
+        forget(more)
+    forget(found, links)
     comp = classes.join(comp, F.col("d") == F.col("node"), "left").select("d", "rep", F.coalesce("comp", "d").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
     return sets.drop("bits"), comp.join(least, "comp").select("d", "comp", "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import table
 
 KEY = b"graphloom demonstration key"  # a parameter: real runs pass their own
-ROUNDS = 10
+ROUNDS, PART = 10, 256
 FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 KINDS = ("email", "secret", "iban", "date", "ssn", "ip", "card", "phone")
 PATTERN = re.compile(
@@ -86,7 +86,15 @@ def refill(shape: str, symbols: str) -> str:
 
 
 def classes(text: str, key: bytes, label: str, digits: str = "") -> str:
-    """Permutes letters within their case and digits among digits; digits: another alphabet for all symbols."""
+    """Permutes letters within their case and digits among digits; digits: another alphabet for all symbols.
+
+    A long text is permuted in parts of `PART` characters, each under a label of what stands before it: still a permutation."""
+    if len(text) > PART:
+        seen, out = blake2b(label.encode(), digest_size=2), []
+        for k in range(0, len(text), PART):
+            out.append(classes(text[k : k + PART], key, seen.hexdigest(), digits))
+            seen.update(text[k : k + PART].encode())
+        return "".join(out)
     sets = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     at = [(digits or next((s for s in sets if c in s), "")) if c.isascii() and c.isalnum() else "" for c in text]
     x, size = 0, 1

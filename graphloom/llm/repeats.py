@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
 LENGTH, PASSAGE, REACH, PIECE, BITS, MOST = 400, 256, 128, 1 << 20, 1 << 28, 1 << 15
 K = np.uint64(0x9E3779B97F4A7C15)
@@ -296,6 +296,7 @@ def spans(rows: DataFrame, length: int, passage: int, bits: int, most: int) -> D
         own = cores if rounds == 1 else cores.where(F.pmod(F.xxhash64(F.lit("round"), "core"), F.lit(rounds)) == k)
         one = round_spans(rows, own, length, passage, bits, most)
         found = one if found is None else found.unionByName(one)
+    forget(cores)  # its bit sets are made
     return found
 
 

@@ -1,7 +1,7 @@
 """Toxicity: a classifier chain of linear models over hashed words and word prefixes.
 
-Categories are predicted one after another; each model also gets the log-odds of all earlier categories.  For training, those come
-out of fold: the labelled rows are split into `folds` by a hash of the id, and a row's earlier log-odds are from the model that has not seen it.
+Categories are predicted one after another; each model also gets the probabilities of all earlier categories.  For training, those come
+out of fold: the labelled rows are split into `folds` by a hash of the id, and a row's earlier probabilities are from the model that has not seen it.
 The final models are fitted on all labelled rows.
 
 A document's features are counts, over its distinct white-space chunks (lower case, outer marks stripped), of the chunk and of its 4- to 7-character
@@ -10,7 +10,8 @@ As counts over chunks add up, a document's log-odds are sums of one number a chu
 
 Fitting uses a bounded sample of labelled rows: the `max_rows` ids of smallest hash.  The models (three arrays of `dim` numbers) are the only thing
 that is sent to executors.  Null or empty texts have the intercepts alone.  Repeated rows are scored each for itself.  With no label row of a
-class, that category's probability is that class's smoothed rate.
+class, that category's probability is that class's smoothed rate.  A probability of exactly `THRESHOLD` counts as toxic.  An empty table gives no rows; extra columns
+stay in the input row.
 """
 
 from __future__ import annotations
