@@ -590,3 +590,94 @@ def test_chunk_encoder_encodes_whole_texts_with_another_splitter(tmp_path):
     t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
     t.save(str(tmp_path / "t.json"))
     assert not token_frames.ChunkEncoder(str(tmp_path / "t.json")).by_chunk
+
+
+def test_toxicity_is_brute_force(spark, docs):
+    lab = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(17)], "doc_id long, quality int, toxic int")
+    models = toxicity.train(docs, lab, dim=1 << 12, chi=0.1)
+    data = [*rows(), rows()[9], (77, "Word. word, WORD " + "x" * 3_000_000, None, None, None, None)]
+    df = spark.createDataFrame(data, SCHEMA).withColumn("__row", F.lit(1)).repartition(3)
+    got = toxicity.score(df, models, dim=1 << 12)
+    want = []
+    for r in data:
+        counts = collections.Counter(f for c in set((r[1] or "").lower().split()) for f in toxicity.chunk_features(c, 1 << 12))
+        p = []
+        for w, v, b in models:
+            z = sum(min(n, 3) * w[f] for f, n in counts.items()) + sum(x * y for x, y in zip(p, v, strict=True)) + b
+            p.append(1 / (1 + np.exp(-z)))
+        want.append((r[0], *(round(float(x), 6) for x in p)))
+    same([(r["__row"]["doc_id"], *(round(r[f"p_{n}"], 6) for n, _ in toxicity.CATEGORIES)) for r in got.collect()], want)
+
+
+def valid(r, kind):
+    """A right number of a kind, made without the operator's finder."""
+    d = lambda n: "".join(r.choices("0123456789", k=n))
+    if kind == "card":
+        body = "4" + d(14)
+        body += str(-sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(reversed(body))) % 10)
+        return r.choice([body, " ".join(body[k : k + 4] for k in range(0, 16, 4)), "-".join(body[k : k + 4] for k in range(0, 16, 4))])
+    if kind == "iban":
+        body = "37040044" + d(10)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+    if kind == "date":
+        return r.choice(["{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}", "{m:02d}/{d:02d}/{y}"]).format(y=r.randint(1900, 2099), m=r.randint(1, 12), d=r.randint(1, 28))
+    if kind == "ip":
+        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == "ssn":
+        return f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+    if kind == "phone":
+        return f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}"
+    if kind == "secret":
+        return "".join(r.choices("0123456789abcdef", k=31)) + "a"
+    return "".join(r.choices("abcdefgXYZ019", k=6)) + ".q@host.example"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pseudonyms_are_those_of_the_values_alone(seed):
+    r = random.Random(seed)
+    for _ in range(120):
+        parts, want, kinds = [], [], collections.Counter()
+        for _ in range(r.randint(1, 8)):
+            kind = r.choice([*pseudonyms.KINDS, None, None])
+            v = valid(r, kind) if kind else r.choice(["word", "no 12", "x1", "300.1.1.1", "2023-02-30", "é"])
+            parts.append(v)
+            want.append(pseudonyms.MAKERS[kind](v, pseudonyms.KEY) if kind else v)
+            kinds[kind] += 1
+        del kinds[None]
+        counts = collections.Counter()
+        assert pseudonyms.replace(" ; ".join(parts), pseudonyms.KEY, counts) == " ; ".join(want) and counts == kinds, parts
+
+
+def test_pseudonyms_stay_valid_and_different(spark):
+    r = random.Random(8)
+    for kind in pseudonyms.KINDS:
+        values = {valid(r, kind) for _ in range(300)}
+        if kind == "card":
+            values = {re.sub(r"\D", "", v) for v in values}
+        made = {v: pseudonyms.MAKERS[kind](v, pseudonyms.KEY) for v in values}
+        assert len(set(made.values())) == len(values) and all(pseudonyms.MAKERS[kind](m, pseudonyms.KEY) is not None for m in made.values())
+    long = "a" * 1_000_000 + " 4111 1111 1111 1111 " + "1 " * 100_000 + "b@c" * 50_000
+    df = spark.createDataFrame([(1, long), (1, long), (None, None)], "doc_id long, text string")
+    got = pseudonyms.pseudonymise(df).collect()
+    assert len({x["text"] for x in got if x["text"]}) == 1 and "4111 1111 1111 1111" not in got[0]["text"] + got[1]["text"]
+
+
+def test_url_verdicts_are_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    extra = [(None, None), (1, "http://a.example.org/en/1x?y"), (1, "http://a.example.org/en/1x?y"), (2, "x://ORG/"), (3, "x://b.com/de/" + "z" * 200_000), (4, "://"), (5, "http://notorg/x")]
+    df = pages.unionByName(spark.createDataFrame(extra, "page_id long, url string")).withColumn("rule", F.lit("mine"))
+    w, b = url_filter.train(list(url_filter.LABELLED))
+    want = []
+    for r in df.select("page_id", "url").collect():
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")
+        labels = host.split(".")
+        fits = [(len(h + p), h + p, say) for say, h, p in url_filter.RULES if path.startswith(p) and any(".".join(labels[k:]) == h for k in range(len(labels)))]
+        rule, say = max(fits)[1:] if fits else (None, None)
+        seen = set()
+        for tag, text in ((104, f"^{host}$".encode()), (112, path.encode())):
+            seen |= {zlib.crc32(text[k : k + n], tag) % url_filter.DIM for n in (3, 4, 5) for k in range(len(text) - n + 1)}
+        z = sum(w[f] for f in seen) / max(1, len(seen)) ** 0.5 + b
+        want.append((r["page_id"], host, path, rule, say or ("block" if z >= 0 else "allow")))
+    same(url_filter.judge(df).select("__row.page_id", "host", "path", "rule", "verdict").collect(), want)
+    assert url_filter.judge(df.limit(0)).count() == 0
