@@ -469,21 +469,89 @@ def test_equals_sql(spark, name):
     same(got.select(*cols).collect(), want.select(*cols).fetchall())
 
 
-def test_pipeline_is_its_operators(spark):
+def small_tables(spark, path, docs):
+    """documents, labels and benchmark of a small corpus as files."""
+    items = [(1, prose(14, 500)), (2, None), (3, prose(5, 501))]
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 40 or k >= 60), 0) for k in range(63)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return items
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    """Each stage, on its own input, against a plain version: nulls, empty texts, copies, near copies, repeated rows, benchmark passages and columns of clashing names."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    junk = random.Random(2)
+    data = [(k, prose(60 + k, 700 + k), "en", f"s{k % 4}", k, 1) for k in range(40)]
+    data += [(k, " ".join("".join(junk.choices("XYZ#", k=6)) for _ in range(50)), "en", "s1", 0, 0) for k in range(40, 60)]
+    data += [(60, data[3][1], "en", "s2", 0, 0), (61, data[4][1] + " tail", "en", "s2", 0, 0), (62, " ".join(data[5][1].split()[:30] + prose(14, 500).split() + data[6][1].split()[:30]), "en", None, 0, 0), (63, None, None, None, None, None), (64, "", "en", "s1", 0, 0), (65, "few words", "en", "s1", 0, 0)]
+    data += [data[7], data[7], (None, prose(80, 900), "en", "s0", 0, 0), (66, "a b c d e f g h i j " * 20, "en", "s0", 0, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, size long")
+    items = small_tables(spark, tmp_path, docs)
+    names, stages = zip(*corpus_pipeline.STAGES, strict=True)
+    assert names == ("quality", "near_duplicates", "decontamination", "mixing", "tokens")
+    now, key = [tuple(r) for r in docs.collect()], lambda r: tuple((x is None, str(x)) for x in r)
+
+    def run(k):
+        out = stages[k](spark, spark.createDataFrame(now, docs.schema).repartition(3), str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        return sorted((tuple(r) for r in out.collect()), key=key)
+
+    # quality: base rules, and exact n-gram ratios, where they are clear of the threshold
+    grams = lambda t: (w := re.findall(r"[^\x20\x09-\x0D]+", t or "")) + list(zip(w, w[1:], strict=False))
+    raw, good = collections.Counter(), collections.Counter()
+    for r in now:
+        raw.update(grams(r[1]))
+        if r[0] is not None and (r[0] < 40 or 60 <= r[0] < 63):
+            good.update(grams(r[1]))
+    ratio = lambda g: np.log((good[g] + 1) / (sum(good.values()) + quality.BUCKETS)) - np.log((raw[g] + 1) / (sum(raw.values()) + quality.BUCKETS))
+    score = {r[1]: np.mean([ratio(g) for g in grams(r[1])]) if grams(r[1]) else -9 for r in now}
+    got = run(0)
+    for r in now:
+        if abs(score[r[1]] - quality.THRESHOLD) > 0.05:
+            assert (r in got) == (not brute_quality(r[1])[-1] and score[r[1]] > quality.THRESHOLD), r[0]
+    assert len(got) >= 40 and not any(r[0] in range(40, 60) for r in got)
+    now = got
+    # near duplicates: one row of each component, the one of the smallest id
+    comp = brute_join(now)
+    got = run(1)
+    assert len(got) == len({(c if i is not None else k) for k, (i, _, c) in enumerate(comp)})
+    assert len({r[0] for r in got}) == len(got) and all(r in now for r in got) and {r[0] for r in got} == {c for i, _, c in comp if i is not None} | {i for i, _, _ in comp if i is None}
+    now = got
+    # decontamination
+    marked = brute_marks(now, items)
+    got = run(2)
+    assert got == sorted((r for r, m in zip(now, marked, strict=True) if not m[-1]), key=key) and len(got) < len(now)
+    now = got
+    # mixing: every row between the whole numbers around its due copies, sources near their targets
+    plan = {r["doc_id"]: r for r in mixing.plan(spark.createDataFrame(now, docs.schema)).collect()}
+    got = run(3)
+    copies, taken, due = collections.Counter(got), collections.Counter(), {}
+    for r in now:
+        c = plan[r[0]]["target"] / plan[r[0]]["source_size"]
+        assert int(c) <= copies[r] <= int(c) + 1 <= 3
+        taken[r[3]] += copies[r] * plan[r[0]]["size"]
+        due[r[3]] = plan[r[0]]["target"]
+    assert set(copies) <= set(now) and all(abs(taken[s] - due[s]) <= max(plan[r[0]]["size"] for r in now if r[3] == s) for s in due)
+    now = got
+    # tokens
+    t, at, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i, text in sorted(((r[0], r[1] or "") for r in now), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    same(run(4), want)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(now)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "near_duplicates", "decontamination", "mixing", "tokens"]
-    left, sizes = docs, []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, left, SF)
-        assert out.columns == docs.columns
-        left = spark.createDataFrame(out.collect(), out.schema)
-        sizes.append(left.count())
-    assert docs.count() > sizes[0] > sizes[1] > sizes[2] > 0
-    final = corpus_pipeline.run(spark, SF)
-    assert final.count() == sizes[3] and json.loads(json.dumps(names))
+    small_tables(spark, tmp_path, empty)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_html_at_any_depth():
