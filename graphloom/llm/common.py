@@ -29,9 +29,13 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, computed once and kept as a Parquet table in the shared folder: lost executors cost no more than the tasks they ran."""
+def written(df: DataFrame, what: str, few: bool = False) -> DataFrame:
+    """df, computed once and kept as a Parquet table in the shared folder: lost executors cost no more than the tasks they ran.
+
+    few: a lean table, gathered from a shuffle; up to eight partitions go to a file, one after another, as long as there are four files a core."""
     path = shared_dir(df.sparkSession, what)
+    if few:
+        df = df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path

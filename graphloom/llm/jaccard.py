@@ -265,7 +265,7 @@ def candidates(docs: DataFrame, flags: np.ndarray, small: int, thin: int) -> Dat
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node it reaches) for every node of edges (a, b)."""
-    e = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    e = written(edges.select("a", "b").where("a <> b").distinct(), "edges", few=True)
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -275,7 +275,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(low, "a")
         small = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        old, e = e, written(small.where("a <> b").distinct(), "edges")
+        old, e = e, written(small.where("a <> b").distinct(), "edges", few=True)
         forget(old)
         new = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
@@ -364,14 +364,14 @@ def classified(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin:
     sets = first.where("digest is not null").select("doc_id", "n", "digest", "bits")
     flags = frequent_buckets(first.where("digest is null"), width, frequent)
     classes = sets.where("n > 0").groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = written(classes, "classes")
-    found = written(candidates(docs, flags, small, thin), "candidates")
-    pairs, members = written(possible(found.where("not family").select("a", "b"), classes), "pairs"), found.where("family").select("a", "b")
+    classes = written(classes, "classes", few=True)
+    found = written(candidates(docs, flags, small, thin), "candidates", few=True)
+    pairs, members = written(possible(found.where("not family").select("a", "b"), classes), "pairs", few=True), found.where("family").select("a", "b")
 
     def proven(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-        tokens = written(token_sets(docs, nodes.join(classes.select("d", "rep"), "d")), "tokens")
-        links = written(verified(pairs, tokens), "links")
+        tokens = written(token_sets(docs, nodes.join(classes.select("d", "rep"), "d")), "tokens", few=True)
+        links = written(verified(pairs, tokens), "links", few=True)
         forget(pairs, tokens)
         return links
 
@@ -381,8 +381,8 @@ def classified(docs: DataFrame, *, width: int = WIDTH, small: int = SMALL, thin:
         fam = members.select(F.col("a").alias("family"), F.col("b").alias("d"))
         placed = fam.join(comp.select(F.col("node").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
         main = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-        placed = written(placed.join(main, "family").select("family", "d", "comp", (F.col("comp") != F.col("main")).alias("out")), "families")
-        more = proven(written(across(placed, classes), "pairs"))
+        placed = written(placed.join(main, "family").select("family", "d", "comp", (F.col("comp") != F.col("main")).alias("out")), "families", few=True)
+        more = proven(written(across(placed, classes), "pairs", few=True))
         forget(placed)
         comp = components(links.unionByName(more))
         forget(more)
@@ -407,7 +407,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     wordless = sets.where("n = 0").select("doc_id", "digest", F.lit(False).alias("__one")).distinct()
     ids = sets.groupBy(F.col("doc_id").alias("__j")).agg((F.min("digest") != F.max("digest")).alias("__many"))  # ids of several texts
     keep = best.unionByName(wordless).join(ids, F.col("doc_id").eqNullSafe(F.col("__j")))
-    keep = written(keep.select(F.col("doc_id").alias("__i"), F.col("digest").alias("__k"), "__one", "__many"), "kept")
+    keep = written(keep.select(F.col("doc_id").alias("__i"), F.col("digest").alias("__k"), "__one", "__many"), "kept", few=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__d"))
     rows = rows.join(keep, F.col("__d").eqNullSafe(F.col("__i")))
     if not keep.where("__many").isEmpty():

@@ -90,7 +90,7 @@ def rounded(units: DataFrame, goal: DataFrame, *, chunk: int = CHUNK, seed: int
         left = math.ceil(left / chunk)
         grouped = live.groupBy("source", "chunks", F.pmod(F.xxhash64(F.lit(level), "h"), "chunks").alias("c")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "h", "size", "p"))).alias("u"))
         grouped = grouped.withColumn("u", F.transform("u", lambda x: F.struct(*[x[k].alias(k) for k in ("h", "size", "p")])))
-        out = written(grouped.select("source", "chunks", round_chunk(level, seed).alias("r")).select("source", "chunks", "r.carry", "r.out"), "mixing")
+        out = written(grouped.select("source", "chunks", round_chunk(level, seed).alias("r")).select("source", "chunks", "r.carry", "r.out"), "mixing", few=True)
         done.append(out.select(F.explode("out").alias("x")).select("x.h", F.col("x.p").cast("long").alias("bit")))
         rest = out.select("source", "chunks", "carry.*")
         if left <= 1:
@@ -107,8 +107,8 @@ def rounded(units: DataFrame, goal: DataFrame, *, chunk: int = CHUNK, seed: int
 
 def plan(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
     """Copies of each unit of docs; units come from one pass over the texts, kept as a small table."""
-    units = written(sizes(docs).groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("m")), "units")
-    return rounded(units, written(targets(units, weights, share, most), "targets"), chunk=chunk, seed=seed)
+    units = written(sizes(docs).groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("m")), "units", few=True)
+    return rounded(units, written(targets(units, weights, share, most), "targets", few=True), chunk=chunk, seed=seed)
 
 
 def each_time(rows: DataFrame, n: str, block: int = 1000) -> DataFrame:
@@ -120,7 +120,7 @@ def each_time(rows: DataFrame, n: str, block: int = 1000) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as many times as it is taken, with the columns of docs."""
     counts = plan(docs, **options).where("base > 0 or extra > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("t").alias("__t"), "m", "base", "extra")
-    counts = written(counts, "counts")
+    counts = written(counts, "counts", few=True)
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("t"))
     same = F.col("doc_id").eqNullSafe(F.col("__i")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")) & (F.col("t") == F.col("__t"))
     both = sized.join(counts, same).drop("__i", "__s", "__n", "__t")

@@ -288,7 +288,7 @@ def stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def spans(rows: DataFrame, length: int, passage: int, bits: int, most: int) -> DataFrame:
     """key, at, n, goes: repeated bytes of each row, as they are found; they overlap.  goes: 1 for strings of `length`, 0 for those of `passage` bytes."""
-    cores = written(counted(rows, length, passage), "cores")
+    cores = written(counted(rows, length, passage), "cores", few=True)
     n = cores.count()
     rounds = max(1, -(-16 * n // bits))
     found = None
