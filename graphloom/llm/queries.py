@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+    return {"op1_suffix_repeats": repeats.ORACLE, "op2_jaccard_join": jaccard.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

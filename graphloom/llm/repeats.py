@@ -433,3 +433,18 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, passage: int = PASSAGE, bits
 
 def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, size, s, hash(substr(h, 2 * s + 1, 2 * size)) AS k FROM (SELECT doc_id, h, size, unnest(range(0, n - size + 1)) AS s FROM d, (VALUES (400), (256)) t(size))),
+rep AS (SELECT doc_id, size, s FROM w QUALIFY count(*) OVER (PARTITION BY size, k) > 1),
+marked AS (SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id, size ORDER BY s) + size THEN 1 ELSE 0 END AS new FROM rep),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, size ORDER BY s) AS part FROM marked),
+spans AS (SELECT doc_id, size, min(s) AS a, max(s) + size AS z FROM parts GROUP BY doc_id, size, part),
+around AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id, size ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS rest FROM around JOIN d USING (doc_id) WHERE size = 400 GROUP BY doc_id),
+also AS (SELECT doc_id, sum(z - a) AS n_repeated FROM spans WHERE size = 256 GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256, coalesce(n_repeated, 0)::BIGINT AS n_repeated
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN also USING (doc_id)
+"""
