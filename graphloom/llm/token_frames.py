@@ -90,8 +90,8 @@ class ChunkEncoder:
         return out
 
     def _learn(self, memory: dict[str, bytes | None], lead: str, new: set[str]) -> None:
-        whole, letters, first, tails = self.odd.search, {}, set(), set()
-        for c in new:
+        first, letters, tails, other = set(filter(str.isalpha, new)), {}, set(), []
+        for c in new - first:
             k = len(c.rstrip(MARKS))
             if 0 < k < len(c) and c[:k].isalpha():  # letters and the marks that close them are two pieces for the splitter
                 letters[c] = (head := c[:k]), (tail := c[k:])
@@ -99,10 +99,10 @@ class ChunkEncoder:
                 if head not in memory:
                     first.add(head)
             else:
-                first.add(c)
-        alone = [c for c in first if not c.isalnum() and whole(c)]
-        first.difference_update(alone)
+                other.append(c)
+        alone = set(filter(self.odd.search, other))
         memory.update(dict.fromkeys(alone))
+        first.update(c for c in other if c not in alone)
         pieces = list(first)
         memory.update(zip(pieces, self._apart([lead + c for c in pieces] if lead else pieces), strict=True))
         pieces = list(tails - self.marks.keys())
