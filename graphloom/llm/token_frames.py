@@ -24,8 +24,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +46,20 @@ class ChunkEncoder:
 
     GPT-2's byte-level splitter never joins characters across a space between two non-space characters, nor across a single
     line break between two, so a text's ids are those of its chunks.  Texts where white space stands together, at an end, or is of another kind, or that hold
-    an added token's string, are encoded whole; so are all texts where the file has another splitter or a normalizer.  The memory is emptied at `limit` chunks."""
+    an added token's string, are encoded whole; so are all texts where the file has another splitter or a normalizer.  The memory is emptied at `limit` chunks.
+    Texts of `group` characters are encoded together: Arrow numbers their chunks, so that each different one is looked up once, and the ids are gathered by number."""
 
-    def __init__(self, path: str, limit: int = 1_400_000):
+    def __init__(self, path: str, limit: int = 1_400_000, group: int = 1 << 23):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
+        self.limit, self.group = limit, group
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
-        self.inner: dict[str, bytes | None] = {}  # chunks after a space; None: texts with it are encoded whole
-        self.outer: dict[str, bytes | None] = {}  # chunks at a text's or line's start
+        self.memory: dict[str, bytes | None] = {}  # chunks after a space, and with a line break before them those at a text's or line's start; None: texts with it are encoded whole
         with open(path, encoding="utf-8") as f:
             says = json.load(f)
         pre, post = says.get("pre_tokenizer") or {}, says.get("post_processor") or {}
@@ -89,63 +87,90 @@ class ChunkEncoder:
             out += [raw[a + size : z] for a, z in zip(at, [*at[1:], len(raw)], strict=True)]
         return out
 
-    def _learn(self, memory: dict[str, bytes | None], lead: str, new: set[str]) -> None:
-        first, letters, tails, other = set(filter(str.isalpha, new)), {}, set(), []
-        for c in new - first:
+    def _learn(self, new: list[str], begun: bool) -> None:
+        """new: different chunks; begun: those at a text's or line's start."""
+        memory = self.memory
+        key, lead, start = ("\n", "", self.marks["\n"]) if begun else ("", " ", b"")
+        first, letters, tails, other = set(), {}, set(), []
+        for c in new:
+            if c.isalpha():
+                first.add(c)
+                continue
             k = len(c.rstrip(MARKS))
             if 0 < k < len(c) and c[:k].isalpha():  # letters and the marks that close them are two pieces for the splitter
                 letters[c] = (head := c[:k]), (tail := c[k:])
                 tails.add(tail)
-                if head not in memory:
+                if key + head not in memory:
                     first.add(head)
             else:
                 other.append(c)
         alone = set(filter(self.odd.search, other))
-        memory.update(dict.fromkeys(alone))
+        memory.update(dict.fromkeys([key + c for c in alone]))
         first.update(c for c in other if c not in alone)
         pieces = list(first)
-        memory.update(zip(pieces, self._apart([lead + c for c in pieces] if lead else pieces), strict=True))
+        ids = self._apart([lead + c for c in pieces] if lead else pieces)
+        memory.update(zip([key + c for c in pieces], [start + x for x in ids], strict=True) if begun else zip(pieces, ids, strict=True))
         pieces = list(tails - self.marks.keys())
         self.marks.update(zip(pieces, self._apart(pieces), strict=True))
         for c, (head, tail) in letters.items():
-            memory[c] = memory[head] + self.marks[tail]
+            memory[key + c] = memory[key + head] + self.marks[tail]
 
     def trim(self, limit: int) -> None:
-        if len(self.inner) + len(self.outer) > limit:
-            self.inner.clear()
-            self.outer.clear()
+        if len(self.memory) > limit:
+            self.memory.clear()
             self.marks = {"\n": self.marks["\n"]}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.trim(self.limit)
         out: list[bytes | None] = [None] * len(texts)
-        rest, split, inner, outer = [], [], set(), set()
-        get, begun = self.inner.get, self.outer
+        rest, split, size = [], [], 0
         for k, text in enumerate(texts):
             if not text or not self.by_chunk or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
                 rest.append(k)
                 continue
-            lines = []
-            for line in text.split("\n"):
-                first, *chunks = line.split(" ")
-                if first not in begun:
-                    outer.add(first)
-                ids = list(map(get, chunks))
-                inner.update(compress(chunks, map(not_, ids)))  # those without ids yet
-                lines.append((first, chunks, ids))
-            split.append((k, lines))
-        self._learn(self.inner, " ", inner)
-        self._learn(self.outer, "", outer)
-        line_break = self.marks["\n"]
-        for k, lines in split:
-            try:
-                out[k] = line_break.join([begun[first] + b"".join([x or get(c) for x, c in zip(ids, chunks, strict=True)]) for first, chunks, ids in lines])
-            except TypeError:  # a chunk that is not to be encoded alone
-                rest.append(k)
+            split.append(k)
+            size += len(text)
+            if size >= self.group:
+                rest += self._by_chunk(texts, split, out)
+                split, size = [], 0
+        if split:
+            rest += self._by_chunk(texts, split, out)
         for k, ids in zip(rest, self._ids([texts[k] for k in rest]), strict=True):
             out[k] = ids
         return out
 
+    def _by_chunk(self, texts: list[str], split: list[int], out: list[bytes | None]) -> list[int]:
+        """Encodes the texts at `split` into out; the places of those that are to be encoded whole."""
+        self.trim(self.limit)
+        some, get = [texts[k] for k in split], self.memory.get
+        raw = ("\n" + "\n".join(some)).replace("\n", " \n").encode()  # every chunk begins with a space, a text's first like a line's first
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        chunks = pa.LargeStringArray.from_buffers(len(spaces), pa.py_buffer(np.append(spaces, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        which, _, values = chunks.indices.to_numpy(), *chunks.dictionary.buffers()[1:]
+        names = values.to_pybytes().decode().split(" ")[1:]
+        pieces = list(map(get, names))
+        lacking = [j for j, x in enumerate(pieces) if x is None]
+        new = [c for c in map(names.__getitem__, lacking) if c not in self.memory]
+        self._learn([c for c in new if c[0] != "\n"], False)
+        self._learn([c[1:] for c in new if c[0] == "\n"], True)
+        alone = np.zeros(len(names), bool)  # chunks that are not to be encoded alone
+        for j in lacking:
+            x = get(names[j])
+            pieces[j], alone[j] = x or b"", x is None
+        last = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in some])  # chunks up to each text's end
+        whole = set(np.searchsorted(last, np.flatnonzero(alone[which]), "right").tolist()) if alone.any() else ()
+        flat = np.frombuffer(b"".join(pieces), self.width)
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces)) // flat.itemsize
+        own = n[which]
+        ends = np.cumsum(own)
+        place = np.repeat((np.cumsum(n) - n)[which] - (ends - own), own)
+        place += np.arange(len(place))
+        ids, at, mark = flat[place].tobytes(), 0, len(self.marks["\n"])
+        for k, j, end in zip(split, range(len(split)), (ends[last - 1] * flat.itemsize).tolist(), strict=True):
+            if j not in whole:
+                out[k] = ids[at + mark : end]
+            at = end
+        return [split[j] for j in whole]
+
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 

@@ -648,6 +648,27 @@ def test_chunk_encoder_equals_the_tokenizer():
     assert coder.by_chunk
 
 
+def test_chunk_encoder_looks_up_each_chunk_once_a_group():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["word, other 漢字.\nword é…\nlast", "a\u00a0b word", "one", "", "don't word <|endoftext|> x", "\0 word\x85x", "other"] * 300
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    coder = token_frames.ChunkEncoder(path)
+    coder.memory = Counted()
+    assert coder.encode(texts) == want and 0 < Counted.asked < 60
+    for group in (1, 40, 1000):  # texts of a group and at its ends
+        assert token_frames.ChunkEncoder(path, limit=3, group=group).encode(texts[:70]) == want[:70]
+
+
 def test_chunk_encoder_encodes_whole_texts_with_another_splitter(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
